@@ -8,6 +8,9 @@ Scale: documents with equal shingle sets are one node, so groups of copies cost
 bucket, members are compared with a centre (the member with most support over all its buckets); members that
 stay in other components are compared with further centres, and only what is left after that is paired among
 different components.  So no link is lost, and a large group of near copies costs a few comparisons a member.
+Documents that merely share a passage also meet in buckets: bucket rows carry the set size and one bit of each
+register, and a pair leaves the join only if both allow the threshold; buckets that stay large are first split by a
+second band.
 """
 
 from __future__ import annotations
@@ -91,9 +94,18 @@ def jaccard_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarra
     return np.clip((match - chance) / (1 - chance), 0, 1)
 
 
-_SIGNATURES = pa.schema(
-    [("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("registers", pa.binary()), ("bands", pa.list_(pa.int64()))]
-)
+def bit_sketch(regs: np.ndarray) -> np.ndarray:
+    """The last mantissa bit of each register in two 64-bit numbers for each document."""
+    return np.packbits(np.where(regs == EMPTY, 0, regs & 1).astype(np.uint8), axis=1).view(np.int64)
+
+
+def most_bits(percent: int) -> int:
+    """Sketch bits that may differ: the mean at the threshold and seven standard deviations."""
+    p = (1 - percent / 100) / 2
+    return int(BUCKETS * p + 7 * (BUCKETS * p * (1 - p)) ** 0.5)
+
+
+_FIELDS = ["doc_id", "n_shingles", "set_a", "set_b", "registers", "bits_a", "bits_b", "bands"]
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,13 +125,13 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 key[1, some] = np.add.reduceat(mix(sets ^ FACTORS[11]), at)
             ids = [pa.array(signed(mix(k)), mask=~some) for k in key]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes), *ids, binaries(list(regs)), lists(signed(keys), n, pa.int64())],
-                ["doc_id", *_SIGNATURES.names],
+                [b.column("doc_id"), pa.array(sizes), *ids, binaries(list(regs)), *(pa.array(x.copy()) for x in bit_sketch(regs).T), lists(signed(keys), n, pa.int64())],
+                _FIELDS,
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        sign, f"doc_id {kind}, n_shingles long, set_a long, set_b long, registers binary, bands array<long>"
+        sign, f"doc_id {kind}, n_shingles long, set_a long, set_b long, registers binary, bits_a long, bits_b long, bands array<long>"
     )
 
 
@@ -161,14 +173,14 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, rounds: int = 4, slack: float = 0.25
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, rounds: int = 4, slack: float = 0.25, large: int = 256
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of distinct 5-word shingles
     (A-Z lower-cased); component_id is the smallest doc_id in the connected component.  ``rounds`` star rounds come
-    before the rest is paired; candidates whose estimate is more than ``slack`` below the threshold (over five
-    standard errors) are not verified.
+    before the rest is paired, and buckets that then hold more than ``large`` members are split; candidates whose
+    estimate is more than ``slack`` below the threshold (over five standard errors) are not verified.
 
     Defined cases: a null or empty text has n_shingles 0 and stands alone; a null doc_id gets a null component_id and
     is kept, since no other row can name it, and links nothing; rows that repeat a doc_id are each returned, with
@@ -179,47 +191,56 @@ def near_duplicates(
     known = sig.where("doc_id is not null and n_shingles > 0")
     classes = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
     reps = durable(
-        known.join(classes, ["set_a", "set_b"]).where("doc_id = rep").dropDuplicates(["set_a", "set_b"]).select(F.col("doc_id").alias("id"), "n_shingles", "registers", "bands"),
+        known.join(classes, ["set_a", "set_b"])
+        .where("doc_id = rep")
+        .dropDuplicates(["set_a", "set_b"])
+        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "registers", "bits_a", "bits_b", "bands"),
         "nodes",
     )
     rows = reps.select("id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     hits = durable(rows.join(shared, "bucket"), "buckets")
-    support = durable(hits.groupBy("id").agg(F.sum("n").alias("support")), "support")
-    left = durable(hits.select("id", "bucket").join(support, "id"), "left")
+    support = durable(hits.groupBy("id").agg(F.sum("members").alias("support")).join(reps.select("id", "n", "bits_a", "bits_b"), "id"), "support")
+    left = hits.select("id", "bucket").join(support, "id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(support.select("id"), "id", "left_semi")
     sets = durable(_full_sets(texts), "sets")
-    regs = reps.select("id", "n_shingles", "registers")
-    side = lambda t, x: t.select(F.col("id").alias(x), F.col(t.columns[1]).alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
+    regs = reps.select("id", "n", "registers")
+    side = lambda x: regs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
+    near = F.expr(
+        f"100 * least(n, n2) >= {int(percent)} * greatest(n, n2) and bit_count(bits_a ^ bits_a2) + bit_count(bits_b ^ bits_b2) <= {most_bits(percent)}"
+    )
+    second = lambda t: t.withColumnsRenamed({c: f"{c}2" for c in ("id", "n", "bits_a", "bits_b", "component")})
     links = spark.createDataFrame([], "a long, b long")
-    parts: list[DataFrame] = []
     labels = None
     least = percent / 100 - slack
     last = False
     for turn in range(rounds + 1):
-        now = left if labels is None else left.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         if labels is None:
-            now = now.withColumn("component", F.col("id"))
+            now = left
         else:
-            mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+            now = left.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("bucket", "members")
             now = durable(now.join(mixed, "bucket"), "left")
-            size, pairs = now.groupBy("bucket").agg(F.count("*").alias("n")).agg(F.sum("n"), F.sum(F.expr("n * (n - 1) / 2"))).first()
+            size, pairs = now.groupBy("bucket").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.expr("m * (m - 1) / 2"))).first()
             if not size:
                 break
             last = turn == rounds or pairs <= 2 * size
         if last:
-            other = now.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-            edges = now.withColumnRenamed("id", "a").join(other, "bucket").where("a < b and component <> cb").select("a", "b").distinct()
-            left = None
+            base = now.select("bucket", "id", "n", "bits_a", "bits_b", "component", "members")
+            more = base.where(F.col("members") > large).join(reps.select("id", F.explode("bands").alias("band")), "id").where("band <> bucket")
+            more = more.withColumn("bucket", F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")))
+            base = base.where(F.col("members") <= large).drop("members").unionAll(more.select(*base.columns).drop("members").distinct())
+            edges = base.join(second(base), "bucket").where("id < id2 and component <> component2").where(near)
         else:
-            centre = now.groupBy("bucket").agg(F.max(F.struct("support", (-F.col("id")).alias("minus"))).alias("top")).select("bucket", (-F.col("top.minus")).alias("centre"))
-            star = now.join(centre, "bucket")
-            edges = star.where("id <> centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-            left = star.where("id <> centre").select("id", "bucket", "support")
-        likely = _likely(edges.join(side(regs, "a"), "a").join(side(regs, "b"), "b"), least)
+            top = F.max(F.struct("support", (-F.col("id")).alias("minus"), "n", "bits_a", "bits_b")).alias("top")
+            centre = now.groupBy("bucket").agg(top).select("bucket", (-F.col("top.minus")).alias("id2"), *(F.col(f"top.{c}").alias(f"{c}2") for c in ("n", "bits_a", "bits_b")))
+            star = now.join(centre, "bucket").where("id <> id2")
+            edges = star.where(near)
+            left = star.select("id", "bucket", "support", "n", "bits_a", "bits_b")
+        edges = edges.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+        likely = _likely(edges.join(side("a"), "a").join(side("b"), "b"), least)
         full = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         new = durable(_confirmed(full, percent).distinct(), "links")
-        parts.append(new)
         links = links.unionAll(new)
         if turn == 0 or not new.isEmpty():
             labels = components(links)
