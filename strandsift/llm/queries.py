@@ -5,8 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contamination
+from .lm import language_model_scores
 from .minhash import near_duplicates
+from .quality_trees import quality_rules
+from .sampling import crc_mod
+from .substring import repeated_windows
+from .tokens import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +25,41 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a passage of a benchmark item with a fifth of its tokens changed at most."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document statistics, the base rule, and the verdict of trees fitted on labels.quality."""
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in 50-word windows that a document with a smaller doc_id has, removed."""
+    return repeated_windows(table(spark, sf_dir, "documents"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents under a public vocabulary of 32,000 pieces."""
+    import public_tokenizers
+
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of all documents, learned from six sevenths of them."""
+    scores = language_model_scores(table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) != 2)
+    return scores.select("doc_id", F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_token_counts": op9_token_counts,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -27,10 +67,10 @@ ORACLE_SQL: dict[str, str] = {
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
   FROM documents
-), at AS (
+), pos AS (
   SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0
 ), sh AS MATERIALIZED (
-  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM at
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM pos
 ), size AS MATERIALIZED (
   SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
 ), both_ AS (
@@ -40,13 +80,32 @@ WITH RECURSIVE w AS (
 ), edge AS MATERIALIZED (
   SELECT a, b FROM link UNION ALL SELECT b, a FROM link
 ), walk AS (
-  SELECT doc_id AS start, doc_id AS at FROM documents
+  SELECT doc_id AS start, doc_id AS node FROM documents
   UNION
-  SELECT walk.start, edge.b FROM walk JOIN edge ON edge.a = walk.at
+  SELECT walk.start, edge.b FROM walk JOIN edge ON edge.a = walk.node
 ), least_ AS (
-  SELECT start, min(at) AS component FROM walk GROUP BY start
+  SELECT start, min(node) AS component FROM walk GROUP BY start
 )
 SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, least_.component AS component_id, d.doc_id = least_.component AS kept
 FROM documents d LEFT JOIN size ON size.doc_id = d.doc_id LEFT JOIN least_ ON least_.start = d.doc_id
+""",
+    "op8_substring_dedup": r"""
+WITH w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), win AS MATERIALIZED (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)
+), first_ AS (
+  SELECT h, min(doc_id) AS lo FROM win GROUP BY h
+), gone AS (
+  SELECT DISTINCT win.doc_id, i + k AS p FROM win JOIN first_ ON win.h = first_.h AND first_.lo < win.doc_id, range(0, 50) AS r(k)
+), word AS (
+  SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS x FROM w
+), kept AS (
+  SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) AS t, count(*) AS n FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p
+  WHERE gone.p IS NULL GROUP BY word.doc_id
+)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
 """,
 }

@@ -25,6 +25,9 @@ EXACT = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 FOLDED = EXACT.copy()
 FOLDED[65:91] = EXACT[97:123]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: White space and ASCII punctuation.
+LOOSE = _SPACE.copy()
+LOOSE[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 #: Odd factors for the positions inside a shingle or n-gram.
 FACTORS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = np.multiply.accumulate(np.full(1024, _BASE))
@@ -91,26 +94,27 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def _cut(data: np.ndarray, off: np.ndarray, at: int, end: int) -> int:
+def _cut(data: np.ndarray, off: np.ndarray, at: int, end: int, space: np.ndarray) -> int:
     """The first place from ``at`` on where no word is cut."""
     limit = int(off[np.searchsorted(off, at)]) if at < end else end
     while at < limit:
-        hit = np.flatnonzero(_SPACE[data[at : min(limit, at + 4096)]])
+        hit = np.flatnonzero(space[data[at : min(limit, at + 4096)]])
         if len(hit):
             return at + int(hit[0])
         at = min(limit, at + 4096)
     return limit
 
 
-def scan(col: pa.Array, table: np.ndarray = EXACT) -> Words:
-    """All words of a text column with their byte ranges and hashes; ``table`` FOLDED ignores the case of A-Z."""
+def scan(col: pa.Array, table: np.ndarray = EXACT, space: np.ndarray = _SPACE) -> Words:
+    """All words of a text column with their byte ranges and hashes; ``table`` FOLDED ignores the case of A-Z, and
+    ``space`` tells which bytes separate words."""
     off, data = buffers(col)
     starts, ends, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     at, stop = int(off[0]), int(off[-1])
     while at < stop:
-        to = _cut(data, off, min(stop, at + SEGMENT), stop)
+        to = _cut(data, off, min(stop, at + SEGMENT), stop, space)
         part = data[at:to]
-        solid = ~_SPACE[part]
+        solid = ~space[part]
         edge = np.zeros(len(part) + 1, bool)
         edge[0] = edge[-1] = True
         inner = off[np.searchsorted(off, at, "right") : np.searchsorted(off, to, "left")]
