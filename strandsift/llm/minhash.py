@@ -251,3 +251,16 @@ def near_duplicates(
     place = place.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     whose = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return place.select("doc_id", "n_shingles", whose.alias("component_id"), F.coalesce(F.col("doc_id") == whose, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, **options) -> DataFrame:
+    """``docs``, with all columns, without the rows that :func:`near_duplicates` doesn't keep.
+
+    Rows with a null doc_id all stay; of rows that repeat both a doc_id and its text one stays.
+    """
+    gone = durable(near_duplicates(docs, id_col, text_col, percent, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    rest = docs.join(gone, id_col, "left_anti")
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if not twice.isEmpty():
+        rest = rest.join(twice, id_col, "left_anti").unionByName(rest.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col]))
+    return rest.select(*docs.columns)

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination
+from .html import extract_main_text
+from .langid import predict_languages
 from .lm import language_model_scores
 from .minhash import near_duplicates
+from .mixing import mix_sources
+from .quality_lines import quality_scores
 from .quality_trees import quality_rules
 from .sampling import crc_mod
 from .substring import repeated_windows
@@ -25,6 +29,29 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents replicated so that every source has the same expected number of rows, in shuffled order."""
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    found = predict_languages(docs, crc_mod("doc_id", 5) != 0)
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of all documents, learned from the labels of three quarters of the ids."""
+    found = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), crc_mod("doc_id", 4) != 2)
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that hold a passage of a benchmark item with a fifth of its tokens changed at most."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -55,7 +82,11 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_source_mixing": op2_source_mixing,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_language_id": op4_language_id,
     "op5_benchmark_decontamination": op5_benchmark_decontamination,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
@@ -107,5 +138,23 @@ WITH w AS MATERIALIZED (
 )
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM w LEFT JOIN kept ON kept.doc_id = w.doc_id
+""",
+    "op2_source_mixing": r"""
+WITH RECURSIVE rates AS (
+  SELECT source, (sum(count(*)) OVER ()) * 1.0::DOUBLE / ((count(*) OVER ()) * count(*)) AS rate FROM documents GROUP BY source
+), cut AS (
+  SELECT source, greatest(1.0, ceil(rate / 16.0))::INTEGER AS parts, rate / greatest(1.0, ceil(rate / 16.0))::INTEGER AS each FROM rates
+), steps AS (
+  SELECT source, parts, each, 0 AS k, exp(-each) AS p, exp(-each) AS c FROM cut
+  UNION ALL
+  SELECT source, parts, each, k + 1, p * each / (k + 1), c + p * each / (k + 1) FROM steps WHERE k < 79
+), draws AS (
+  SELECT d.doc_id, d.source, i, CAST('0x' || substr(md5('17:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null:' || md5(coalesce(d.text, ''))) || ':' || i), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u
+  FROM (SELECT DISTINCT doc_id, source, text FROM documents) d JOIN cut ON cut.source IS NOT DISTINCT FROM d.source, LATERAL (SELECT unnest(range(1, cut.parts + 1)) AS i)
+), times AS (
+  SELECT draws.doc_id, CAST(count(*) AS INTEGER) AS n FROM draws JOIN steps ON steps.source IS NOT DISTINCT FROM draws.source AND steps.c <= draws.u GROUP BY draws.doc_id
+)
+SELECT d.*, CAST(r.copy AS INTEGER) AS copy, md5('17:order:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null:' || md5(coalesce(d.text, ''))) || ':' || r.copy) AS shuffle_key
+FROM documents d JOIN times ON times.doc_id IS NOT DISTINCT FROM d.doc_id, LATERAL (SELECT unnest(range(1, times.n + 1)) AS copy) r
 """,
 }
