@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes other than space and ``\\x09``-``\\x0D``; that equals ``[^\\x20\\x09-\\x0D]+``
 on code points, because every byte of a multi-byte UTF-8 character is at least 0x80.  Word hashes are 64-bit
-polynomial hashes over random byte values.  Everything works on byte segments of about a megabyte, so memory
+polynomial hashes over random byte values.  Everything works on byte segments of half a megabyte, so memory
 follows the number of words of one slice, not the size of the Arrow batch.
 """
 
@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 
 SPACE = b" \t\n\v\f\r"
-SEGMENT = 1 << 20
-SLICE = 6 << 20
+SEGMENT = 1 << 19
+SLICE = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE)] = True
