@@ -1,59 +1,5 @@
-"""Tables in the shared folder that the cluster names in ``spark.checkpoint.dir``.
+"""Written tables in the shared folder (see :mod:`strandsift.storage`)."""
 
-Written tables cut the lineage: an executor that is lost later takes nothing with it.  Where the setting is
-missing (tests on one machine) a folder under the warehouse directory is used.
-"""
+from ..storage import drop, durable, folder
 
-from __future__ import annotations
-
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def folder(spark: SparkSession) -> str:
-    """The shared folder of this application."""
-    conf = spark.sparkContext.getConf()
-    top = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not top:
-        top = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{top.rstrip('/')}/strandsift-{spark.sparkContext.applicationId}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-_registered: set[str] = set()
-
-
-def durable(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return the table read back."""
-    spark = df.sparkSession
-    top = folder(spark)
-    if top not in _registered:
-        _registered.add(top)
-        atexit.register(_forget, spark, top)
-    path = f"{top}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._durable_path = path
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete tables that :func:`durable` has written and that nothing reads any more."""
-    for t in tables:
-        if path := getattr(t, "_durable_path", None):
-            _delete(t.sparkSession, path)
-
-
-def _forget(spark: SparkSession, top: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            _delete(spark, top)
-    except Exception:  # noqa: BLE001  the JVM may be gone already
-        pass
+__all__ = ["drop", "durable", "folder"]
