@@ -9,12 +9,13 @@ bucket, members are compared with a centre (the member with most support over al
 stay in other components are compared with further centres, and only what is left after that is paired among
 different components.  So no link is lost, and a large group of near copies costs a few comparisons a member.
 Documents that merely share a passage also meet in buckets: bucket rows carry the set size and one bit of each
-register, and a pair leaves the join only if both allow the threshold; buckets that stay large are first split by a
-second band.
+register, and a pair leaves the join only if both allow the threshold.  In large buckets each document also carries how
+many of its shingles no other member has; that bounds its similarity to any of them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ BUCKETS = 128
 ROWS = 5
 BANDS = BUCKETS // ROWS
 MANTISSA = 10
+#: Up to so many ids are broadcast to the reading of texts; beyond it texts and ids are shuffled.
+BROADCAST_IDS = 20_000
 EMPTY = 0xFFFF
 
 
@@ -100,23 +103,22 @@ def bit_sketch(regs: np.ndarray) -> np.ndarray:
 
 
 def most_bits(percent: int) -> int:
-    """Sketch bits that may differ: the mean at the threshold and seven standard deviations."""
+    """Sketch bits that may differ: the mean at the threshold and five and a half standard deviations."""
     p = (1 - percent / 100) / 2
-    return int(BUCKETS * p + 7 * (BUCKETS * p * (1 - p)) ** 0.5)
+    return int(BUCKETS * p + 5.5 * (BUCKETS * p * (1 - p)) ** 0.5)
 
 
-_FIELDS = ["doc_id", "n_shingles", "set_a", "set_b", "registers", "bits_a", "bits_b", "bands"]
+_FIELDS = ["doc_id", "n_shingles", "set_a", "set_b", "registers", "bits_a", "bits_b"]
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, registers, bands) for every row; set_a and set_b identify the shingle set
+    """(doc_id, n_shingles, set_a, set_b, registers, bits_a, bits_b) for every row; set_a and set_b identify the shingle set
     (null for an empty one).  Null texts count as empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             sets, sizes = shingle_sets(scan(b.column("text"), FOLDED))
             regs = registers(sets, sizes)
-            keys, n = bands(regs)
             some = sizes > 0
             at = (np.cumsum(sizes) - sizes)[some]
             key = np.zeros((2, len(sizes)), np.uint64)
@@ -125,16 +127,36 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 key[1, some] = np.add.reduceat(mix(sets ^ FACTORS[11]), at)
             ids = [pa.array(signed(mix(k)), mask=~some) for k in key]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes), *ids, binaries(list(regs)), *(pa.array(x.copy()) for x in bit_sketch(regs).T), lists(signed(keys), n, pa.int64())],
+                [b.column("doc_id"), pa.array(sizes), *ids, binaries(list(regs)), *(pa.array(x.copy()) for x in bit_sketch(regs).T)],
                 _FIELDS,
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        sign, f"doc_id {kind}, n_shingles long, set_a long, set_b long, registers binary, bits_a long, bits_b long, bands array<long>"
+        sign, f"doc_id {kind}, n_shingles long, set_a long, set_b long, registers binary, bits_a long, bits_b long"
     )
 
 
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(id, bucket) for every band in use."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                keys, n = bands(np.frombuffer(b"".join(b.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS))
+                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(np.repeat(np.arange(b.num_rows), n))), pa.array(signed(keys))], ["id", "bucket"])
+
+    return nodes.select("id", "registers").mapInArrow(run, "id long, bucket long")
+
+
+def _with_main(rows: DataFrame) -> DataFrame:
+    """``rows`` with the largest component of their bucket, the rows outside it, and all rows (of mixed buckets only)."""
+    each = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    main = each.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("members"))
+    main = main.select("bucket", F.col("top.component").alias("main"), (F.col("members") - F.col("top.c")).alias("others"), "members").where("others > 0")
+    return rows.join(main, "bucket")
+
+
 def _full_sets(docs: DataFrame) -> DataFrame:
     """(id, shingles): all shingle hashes of each document, sorted, as bytes."""
 
@@ -146,6 +168,22 @@ def _full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sets, "id long, shingles binary")
 
 
+def _alone(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, alone): how many shingles of a document none of the other documents has.  They bound its similarity to
+    any of the others, which spares near copies with many changes the comparison with all members of their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            all_, sizes = shingle_sets(scan(b.column("text"), FOLDED))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(np.repeat(np.arange(b.num_rows), sizes))), pa.array(signed(all_))], ["id", "shingle"])
+
+    ids = durable(ids, "crowd")
+    few = ids.count() <= BROADCAST_IDS
+    rows = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, shingle long")
+    once = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
+    return once.groupBy("id").agg(F.count("*").alias("alone"))
+
+
 def _likely(pairs: DataFrame, least: float) -> DataFrame:
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,14 +211,14 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, rounds: int = 4, slack: float = 0.25, large: int = 256
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, rounds: int = 2, slack: float = 0.25, large: int = 256
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of distinct 5-word shingles
     (A-Z lower-cased); component_id is the smallest doc_id in the connected component.  ``rounds`` star rounds come
-    before the rest is paired, and buckets that then hold more than ``large`` members are split; candidates whose
-    estimate is more than ``slack`` below the threshold (over five standard errors) are not verified.
+    before the rest is paired: in each bucket, the members outside its largest component with the others
+    (above ``large`` members within the bound that shingles without a partner set).  Candidates whose estimate is more than ``slack`` below the threshold (over five standard errors) are not verified.
 
     Defined cases: a null or empty text has n_shingles 0 and stands alone; a null doc_id gets a null component_id and
     is kept, since no other row can name it, and links nothing; rows that repeat a doc_id are each returned, with
@@ -194,59 +232,64 @@ def near_duplicates(
         known.join(classes, ["set_a", "set_b"])
         .where("doc_id = rep")
         .dropDuplicates(["set_a", "set_b"])
-        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "registers", "bits_a", "bits_b", "bands"),
+        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "registers", "bits_a", "bits_b"),
         "nodes",
     )
-    rows = reps.select("id", F.explode("bands").alias("bucket"))
+    rows = _buckets(reps)
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     hits = durable(rows.join(shared, "bucket"), "buckets")
     support = durable(hits.groupBy("id").agg(F.sum("members").alias("support")).join(reps.select("id", "n", "bits_a", "bits_b"), "id"), "support")
     left = hits.select("id", "bucket").join(support, "id")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(support.select("id"), "id", "left_semi")
-    sets = durable(_full_sets(texts), "sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     regs = reps.select("id", "n", "registers")
     side = lambda x: regs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
     near = F.expr(
         f"100 * least(n, n2) >= {int(percent)} * greatest(n, n2) and bit_count(bits_a ^ bits_a2) + bit_count(bits_b ^ bits_b2) <= {most_bits(percent)}"
     )
-    second = lambda t: t.withColumnsRenamed({c: f"{c}2" for c in ("id", "n", "bits_a", "bits_b", "component")})
     links = spark.createDataFrame([], "a long, b long")
     labels = None
     least = percent / 100 - slack
     last = False
+    fields = ("n", "bits_a", "bits_b", "component")
     for turn in range(rounds + 1):
         if labels is None:
-            now = left
+            now = left.withColumn("component", F.col("id"))
         else:
             now = left.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            mixed = now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).where("lo <> hi").select("bucket", "members")
-            now = durable(now.join(mixed, "bucket"), "left")
-            size, pairs = now.groupBy("bucket").agg(F.count("*").alias("m")).agg(F.sum("m"), F.sum(F.expr("m * (m - 1) / 2"))).first()
+            now = durable(_with_main(now), "left")
+            size, pairs = now.agg(F.count("*"), F.sum("others")).first()
             if not size:
                 break
-            last = turn == rounds or pairs <= 2 * size
+            last = turn == rounds or pairs <= 8 * size
         if last:
-            base = now.select("bucket", "id", "n", "bits_a", "bits_b", "component", "members")
-            more = base.where(F.col("members") > large).join(reps.select("id", F.explode("bands").alias("band")), "id").where("band <> bucket")
-            more = more.withColumn("bucket", F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")))
-            base = base.where(F.col("members") <= large).drop("members").unionAll(more.select(*base.columns).drop("members").distinct())
-            edges = base.join(second(base), "bucket").where("id < id2 and component <> component2").where(near)
+            base = now.withColumn("crowd", F.col("members") > large).select("bucket", "id", *fields, "main", "crowd")
+            alone = _alone(texts, base.where("crowd").select("id").distinct())
+            base = base.join(alone, "id", "left").withColumn("common", F.col("n") - F.when(F.col("crowd"), F.coalesce("alone", F.lit(0))).otherwise(0))
+            base = base.withColumn("size", F.floor(F.log("n") / F.lit(-math.log(percent / 100))).cast("int"))
+            minor = base.where("component <> main").withColumn("size", F.explode(F.array(*(F.col("size") + x for x in (-1, 0, 1)))))
+            other = base.select("bucket", "size", "id", "common", *fields).withColumnsRenamed({c: f"{c}2" for c in ("id", "common", *fields)})
+            able = f"100 * least(common, common2) >= {int(percent)} * (n + n2 - least(common, common2))"
+            edges = minor.join(other, ["bucket", "size"]).where("component <> component2 and (component2 = main or id < id2)").where(near).where(able)
         else:
-            top = F.max(F.struct("support", (-F.col("id")).alias("minus"), "n", "bits_a", "bits_b")).alias("top")
-            centre = now.groupBy("bucket").agg(top).select("bucket", (-F.col("top.minus")).alias("id2"), *(F.col(f"top.{c}").alias(f"{c}2") for c in ("n", "bits_a", "bits_b")))
+            top = F.max(F.struct("support", (-F.col("id")).alias("minus"), *fields)).alias("top")
+            centre = now.groupBy("bucket").agg(top).select("bucket", (-F.col("top.minus")).alias("id2"), *(F.col(f"top.{c}").alias(f"{c}2") for c in fields))
             star = now.join(centre, "bucket").where("id <> id2")
-            edges = star.where(near)
+            edges = star.where("component <> component2").where(near)
             left = star.select("id", "bucket", "support", "n", "bits_a", "bits_b")
         edges = edges.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        likely = _likely(edges.join(side("a"), "a").join(side("b"), "b"), least)
+        likely = durable(_likely(edges.join(side("a"), "a").join(side("b"), "b"), least), "likely")
+        ids = durable(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+        few = ids.count() <= BROADCAST_IDS
+        sets = durable(_full_sets(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")), "sets")
         full = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         new = durable(_confirmed(full, percent).distinct(), "links")
+        drop(sets)
         links = links.unionAll(new)
         if turn == 0 or not new.isEmpty():
             labels = components(links)
         if last:
             break
-    drop(sets, hits, support)
+    drop(hits, support)
     place = sig.select("doc_id", "n_shingles", "set_a", "set_b").join(classes, ["set_a", "set_b"], "left")
     place = place.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
     whose = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
