@@ -8,8 +8,8 @@ Scale: documents with equal shingle sets are one node, so groups of copies cost
 bucket, members are compared with a centre (the member with most support over all its buckets); members that
 stay in other components are compared with further centres, and only what is left after that is paired among
 different components.  So no link is lost, and a large group of near copies costs a few comparisons a member.
-Documents that merely share a passage also meet in buckets: bucket rows carry the set size and one bit of each
-register, and a pair leaves the join only if both allow the threshold.  In large buckets each document also carries how
+Documents that merely share a passage also meet in buckets: bucket rows carry the set size, one bit of each register
+and a few bits of each of 128 parts of the set, and a pair leaves the join only if these allow the threshold.  In large buckets each document also carries how
 many of its shingles no other member has; that bounds its similarity to any of them.
 """
 
@@ -108,11 +108,38 @@ def most_bits(percent: int) -> int:
     return int(BUCKETS * p + 5.5 * (BUCKETS * p * (1 - p)) ** 0.5)
 
 
-_FIELDS = ["doc_id", "n_shingles", "set_a", "set_b", "registers", "bits_a", "bits_b"]
+def part_sketch(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Four hash bits of each of 128 parts of a set (by the last bits of its members), in eight 64-bit numbers.
+
+    Each part that differs holds a shingle that only one of two documents has, so the number of different parts bounds
+    the size of the symmetric difference from below, without error.
+    """
+    cell = np.repeat(np.arange(len(sizes)) * BUCKETS, sizes) + (sets & np.uint64(BUCKETS - 1)).astype(np.int64)
+    sums = np.bincount(cell, (mix(sets) >> np.uint64(60)).astype(np.float64), len(sizes) * BUCKETS).astype(np.int64) & 15
+    nibbles = sums.reshape(len(sizes), BUCKETS).astype(np.uint8)
+    return np.ascontiguousarray(nibbles[:, 0::2] | nibbles[:, 1::2] << 4).view(np.int64)
+
+
+SKETCH = ["bits_a", "bits_b", *(f"parts_{i}" for i in range(8))]
+_FIELDS = ["doc_id", "n_shingles", "set_a", "set_b", "registers", *SKETCH]
+
+
+def pair_condition(percent: int) -> str:
+    """What two rows (n and SKETCH; the second's names end in 2) must meet for the threshold to be possible: sizes, bits
+    of the registers, and the number of parts that differ."""
+    bits = " + ".join(f"bit_count({c} ^ {c}2)" for c in SKETCH[:2])
+    nibbles = []
+    for c in SKETCH[2:]:
+        x = f"({c} ^ {c}2)"
+        nibbles.append(f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & 1229782938247303441L)")
+    return (
+        f"100 * least(n, n2) >= {percent} * greatest(n, n2) and {bits} <= {most_bits(percent)} "
+        f"and {100 + percent} * ({' + '.join(nibbles)}) <= {100 - percent} * (n + n2)"
+    )
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, registers, bits_a, bits_b) for every row; set_a and set_b identify the shingle set
+    """(doc_id, n_shingles, set_a, set_b, registers, SKETCH) for every row; set_a and set_b identify the shingle set
     (null for an empty one).  Null texts count as empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +154,13 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 key[1, some] = np.add.reduceat(mix(sets ^ FACTORS[11]), at)
             ids = [pa.array(signed(mix(k)), mask=~some) for k in key]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes), *ids, binaries(list(regs)), *(pa.array(x.copy()) for x in bit_sketch(regs).T)],
+                [b.column("doc_id"), pa.array(sizes), *ids, binaries(list(regs)), *(pa.array(x.copy()) for x in (*bit_sketch(regs).T, *part_sketch(sets, sizes).T))],
                 _FIELDS,
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        sign, f"doc_id {kind}, n_shingles long, set_a long, set_b long, registers binary, bits_a long, bits_b long"
+        sign, f"doc_id {kind}, n_shingles long, set_a long, set_b long, registers binary, " + ", ".join(f"{c} long" for c in SKETCH)
     )
 
 
@@ -232,25 +259,23 @@ def near_duplicates(
         known.join(classes, ["set_a", "set_b"])
         .where("doc_id = rep")
         .dropDuplicates(["set_a", "set_b"])
-        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "registers", "bits_a", "bits_b"),
+        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "registers", *SKETCH),
         "nodes",
     )
     rows = _buckets(reps)
     shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     hits = durable(rows.join(shared, "bucket"), "buckets")
-    support = durable(hits.groupBy("id").agg(F.sum("members").alias("support")).join(reps.select("id", "n", "bits_a", "bits_b"), "id"), "support")
+    support = durable(hits.groupBy("id").agg(F.sum("members").alias("support")).join(reps.select("id", "n", *SKETCH), "id"), "support")
     left = hits.select("id", "bucket").join(support, "id")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     regs = reps.select("id", "n", "registers")
     side = lambda x: regs.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    near = F.expr(
-        f"100 * least(n, n2) >= {int(percent)} * greatest(n, n2) and bit_count(bits_a ^ bits_a2) + bit_count(bits_b ^ bits_b2) <= {most_bits(percent)}"
-    )
+    near = F.expr(pair_condition(int(percent)))
     links = spark.createDataFrame([], "a long, b long")
     labels = None
     least = percent / 100 - slack
     last = False
-    fields = ("n", "bits_a", "bits_b", "component")
+    fields = ("n", *SKETCH, "component")
     for turn in range(rounds + 1):
         if labels is None:
             now = left.withColumn("component", F.col("id"))
@@ -275,7 +300,7 @@ def near_duplicates(
             centre = now.groupBy("bucket").agg(top).select("bucket", (-F.col("top.minus")).alias("id2"), *(F.col(f"top.{c}").alias(f"{c}2") for c in fields))
             star = now.join(centre, "bucket").where("id <> id2")
             edges = star.where("component <> component2").where(near)
-            left = star.select("id", "bucket", "support", "n", "bits_a", "bits_b")
+            left = star.select("id", "bucket", "support", "n", *SKETCH)
         edges = edges.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         likely = durable(_likely(edges.join(side("a"), "a").join(side("b"), "b"), least), "likely")
         ids = durable(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")

@@ -17,6 +17,7 @@ import pyarrow as pa
 SPACE = b" \t\n\v\f\r"
 SEGMENT = 1 << 19
 SLICE = 2 << 20
+ROWS = 8192
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE)] = True
@@ -65,12 +66,13 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Cut record batches, without copying, into pieces with about ``size`` bytes of text (a longer text stands alone)."""
+    """Cut record batches, without copying, into pieces with about ``size`` bytes of text (a longer text stands alone)
+    and at most ROWS rows."""
     for batch in batches:
         off, _ = buffers(batch.column(text))
         lo = 0
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
+            hi = min(lo + ROWS, max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1))
             yield batch.slice(lo, hi - lo)
             lo = hi
 
