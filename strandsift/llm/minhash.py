@@ -9,8 +9,7 @@ bucket, members are compared with a centre (the member with most support over al
 stay in other components are compared with further centres, and only what is left after that is paired among
 different components.  So no link is lost, and a large group of near copies costs a few comparisons a member.
 Documents that merely share a passage also meet in buckets: bucket rows carry the set size, one bit of each register
-and a few bits of each of 128 parts of the set, and a pair leaves the join only if these allow the threshold.  In large buckets each document also carries how
-many of its shingles no other member has; that bounds its similarity to any of them.
+and a few bits of each of 128 parts of the set, and a pair leaves the join only if these allow the threshold.
 """
 
 from __future__ import annotations
@@ -195,22 +194,6 @@ def _full_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sets, "id long, shingles binary")
 
 
-def _alone(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, alone): how many shingles of a document none of the other documents has.  They bound its similarity to
-    any of the others, which spares near copies with many changes the comparison with all members of their group."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            all_, sizes = shingle_sets(scan(b.column("text"), FOLDED))
-            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(np.repeat(np.arange(b.num_rows), sizes))), pa.array(signed(all_))], ["id", "shingle"])
-
-    ids = durable(ids, "crowd")
-    few = ids.count() <= BROADCAST_IDS
-    rows = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi").mapInArrow(run, "id long, shingle long")
-    once = rows.groupBy("shingle").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1")
-    return once.groupBy("id").agg(F.count("*").alias("alone"))
-
-
 def _likely(pairs: DataFrame, least: float) -> DataFrame:
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -238,14 +221,14 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, rounds: int = 2, slack: float = 0.25, large: int = 256
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, rounds: int = 2, slack: float = 0.25
 ) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of distinct 5-word shingles
     (A-Z lower-cased); component_id is the smallest doc_id in the connected component.  ``rounds`` star rounds come
-    before the rest is paired: in each bucket, the members outside its largest component with the others
-    (above ``large`` members within the bound that shingles without a partner set).  Candidates whose estimate is more than ``slack`` below the threshold (over five standard errors) are not verified.
+    before the rest is paired: in each bucket, the members outside its largest component with the
+    others.  Candidates whose estimate is more than ``slack`` below the threshold (over five standard errors) are not verified.
 
     Defined cases: a null or empty text has n_shingles 0 and stands alone; a null doc_id gets a null component_id and
     is kept, since no other row can name it, and links nothing; rows that repeat a doc_id are each returned, with
@@ -287,14 +270,11 @@ def near_duplicates(
                 break
             last = turn == rounds or pairs <= 8 * size
         if last:
-            base = now.withColumn("crowd", F.col("members") > large).select("bucket", "id", *fields, "main", "crowd")
-            alone = _alone(texts, base.where("crowd").select("id").distinct())
-            base = base.join(alone, "id", "left").withColumn("common", F.col("n") - F.when(F.col("crowd"), F.coalesce("alone", F.lit(0))).otherwise(0))
+            base = now.select("bucket", "id", *fields, "main")
             base = base.withColumn("size", F.floor(F.log("n") / F.lit(-math.log(percent / 100))).cast("int"))
             minor = base.where("component <> main").withColumn("size", F.explode(F.array(*(F.col("size") + x for x in (-1, 0, 1)))))
-            other = base.select("bucket", "size", "id", "common", *fields).withColumnsRenamed({c: f"{c}2" for c in ("id", "common", *fields)})
-            able = f"100 * least(common, common2) >= {int(percent)} * (n + n2 - least(common, common2))"
-            edges = minor.join(other, ["bucket", "size"]).where("component <> component2 and (component2 = main or id < id2)").where(near).where(able)
+            other = base.select("bucket", "size", "id", *fields).withColumnsRenamed({c: f"{c}2" for c in ("id", *fields)})
+            edges = minor.join(other, ["bucket", "size"]).where("component <> component2 and (component2 = main or id < id2)").where(near)
         else:
             top = F.max(F.struct("support", (-F.col("id")).alias("minus"), *fields)).alias("top")
             centre = now.groupBy("bucket").agg(top).select("bucket", (-F.col("top.minus")).alias("id2"), *(F.col(f"top.{c}").alias(f"{c}2") for c in fields))

@@ -101,7 +101,7 @@ def test_registers_estimate_jaccard():
 def test_near_duplicates(spark, percent):
     rows = corpus()
     want = brute_components(rows, percent)
-    got = M.near_duplicates(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA), percent=percent, large=8).collect()
+    got = M.near_duplicates(spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA), percent=percent).collect()
     assert len(got) == len(rows)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
