@@ -1,14 +1,15 @@
 """Language-model scores from a log-frequency Bloom filter.
 
-Counts of all words and word pairs of the training texts are gathered exactly: every task sends, for each range of
-hashes, one packed block of its distinct n-grams and their counts, and each range is merged on its own.  A count c is
-quantised to the level 1 + floor(log2 c); the filter holds an n-gram once for every level up to its own, so probing
-level after level until a probe fails gives the level back, and a level stands for the mean of the counts in it.
-Each range owns a segment of the filter, is built by one small group, and the whole is broadcast.
-
-The filter has at most ``MAX_BITS`` bits.  Where all levels don't fit at ``BITS_EACH`` bits, the lowest levels of the
-pairs, then of the words, are left out (a count cutoff); the model then falls back on shorter n-grams for those.  The
-base score is always exact: frequent words come from a bounded broadcast table, the rest from a join on the word.
+Texts are cut into slices, and every slice sends, for each range of hashes, one packed block of its distinct words and
+word pairs with their counts in the training texts.  A range adds its blocks up to exact counts, fills its own segment
+of the filter, looks all its n-grams up in it and answers every slice with one level for each n-gram that it sent; the
+slices then score their texts.  A count c is quantised to the level 1 + floor(log2 c); the filter holds an n-gram once
+for every level up to its own, so probing level after level until a probe fails gives the level back, and a level
+stands for the mean of the counts in it.
+
+Scale: no count is left out at any size.  A segment has ``BITS_EACH`` bits for each n-gram and level, and ranges get
+more, not larger, as the texts grow; no machine holds the whole filter.  The base score is exact: frequent words come
+from a bounded broadcast table, the rest from a join on the word.
 """
 
 from __future__ import annotations
@@ -20,19 +21,21 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable
 from .textstats import arrow
-from .words import FACTORS, FOLDED, Words, lists, mix, scan, signed, slices
+from .words import FACTORS, FOLDED, ROWS, Words, lists, mix, scan, signed, slices
 
+#: The most bits of one range's segment, by a bound on its n-grams from the bytes and rows of the texts.
 MAX_BITS = 1 << 28
 BITS_EACH = 8
 PROBES = 4
 TOP = 48
 FREQUENT = 1 << 17
-FLUSH = 2_000_000
+CHUNK = 6 << 20
 END = np.uint64(0x5851F42D4C957F2D)
 _WORD, _PAIR = 1, 2
 
@@ -56,73 +59,105 @@ def singles(tokens: np.ndarray) -> np.ndarray:
     return mix(tokens * FACTORS[22])
 
 
-def _count(values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate(values), return_counts=True) if values else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def _distinct(text: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Tokens and the first of each document; by kind the sorted n-grams and which one each token is.  Of pairs, the
+    bits of the range and the next 32 are kept."""
+    tokens, first = with_ends(scan(text, FOLDED))
+    two = pairs(tokens) >> np.uint64(32 - bits)
+    return tokens, first, {k: np.unique(x, return_inverse=True) for k, x in ((_WORD, singles(tokens)), (_PAIR, two))}
 
 
-def _pack(kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> list[tuple]:
-    """Blocks of sorted n-gram hashes by range: words keep 64 bits, pairs those of the range and the next 32."""
-    out = []
-    where = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    edge = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True]) if len(keys) else []
-    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-        k = keys[lo:hi]
-        if kind == _PAIR:
-            k = (k >> np.uint64(32 - bits)).astype(np.uint32)
-        c = counts[lo:hi].astype(np.int64)
-        more = c > 1
-        out.append((kind, int(where[lo]), np.concatenate((k[~more], k[more])).tobytes(), c[more].astype(np.uint32 if c.max() < 1 << 32 else np.uint64).tobytes(), int(more.sum())))
-    return out
+def _small(c: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 and more follow in full."""
+    return np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype(np.int64).tobytes()
 
 
-_BLOCK = "kind int, part int, keys binary, counts binary, more int"
+def _large(data: bytes, n: int) -> np.ndarray:
+    c = np.frombuffer(data, np.uint8, n).astype(np.int64)
+    if len(data) > n:
+        c[c == 255] = np.frombuffer(data, np.int64, offset=n)
+    return c
 
 
-def _unpack(kind: int, keys: bytes, counts: bytes, more: int) -> tuple[np.ndarray, np.ndarray]:
-    k = np.frombuffer(keys, np.uint32 if kind == _PAIR else np.uint64)
-    c = np.ones(len(k), np.int64)
-    if more:
-        c[-more:] = np.frombuffer(counts, np.uint32 if len(counts) == 4 * more else np.uint64)
-    return k, c
+_BLOCK = "first long, kind int, part int, keys binary, counts binary, more int"
+_NAMES = ["first", "kind", "part", "keys", "counts", "more"]
 
 
-def _gathered(train: DataFrame, bits: int) -> DataFrame:
-    """All n-gram counts of the training texts, one block for each kind and range."""
+def _cut(docs: DataFrame) -> DataFrame:
+    """(doc_id, train, text) with a row number; rows of equal number / ROWS are a slice with about CHUNK bytes of text."""
+    names = ["doc_id", "train", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 24
+        for b in slices(batches, "text", CHUNK):
+            yield pa.RecordBatch.from_arrays([pa.array(at * ROWS + np.arange(b.num_rows)), *(b.column(c) for c in names)], ["row", *names])
+            at += 1
+
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(names).mapInArrow(run, f"row long, {kinds}")
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list[np.ndarray]] = {_WORD: [], _PAIR: []}
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            rows = [r for kind, values in kept.items() for r in _pack(kind, *_count(values), bits)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["kind", "part", "keys", "counts", "more"])
-
-        for b in slices(batches, "text"):
-            tokens, _ = with_ends(scan(b.column("text"), FOLDED))
-            kept[_WORD].append(tokens)
-            kept[_PAIR].append(pairs(tokens))
-            size += len(tokens)
-            if size >= FLUSH:
-                yield flush()
-                kept, size = {_WORD: [], _PAIR: []}, 0
-        if size:
-            yield flush()
+
+def _probes(cut: DataFrame, bits: int) -> DataFrame:
+    """The distinct n-grams of each run of rows of one slice with their training counts (0 where only other texts have
+    them), one block for each run, kind and range.  A slice is one run, or more where it is read in more batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            number = b.column("row").to_numpy()
+            cuts = np.flatnonzero(np.r_[True, np.diff(number // ROWS) != 0, True]) if len(number) else []
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                part = b.slice(start, stop - start)
+                _, first, found = _distinct(part.column("text"), bits)
+                learned = np.repeat(part.column("train").to_numpy(zero_copy_only=False).astype(float), np.diff(first))
+                rows = []
+                for kind, (keys, of) in found.items():
+                    counts = np.bincount(of, learned, len(keys)).astype(np.int64)
+                    where = (keys >> np.uint64(32 if kind == _PAIR else 64 - bits)).astype(np.int64)
+                    keys = keys.astype(np.uint32) if kind == _PAIR else keys
+                    edge = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
+                    rows += [(int(number[start]), kind, int(where[lo]), keys[lo:hi].tobytes(), _small(counts[lo:hi]), 0) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], _NAMES)
+
+    return cut.select("row", "train", "text").mapInArrow(run, _BLOCK)
+
+
+def _answered(probes: DataFrame, bits: int) -> DataFrame:
+    """For each kind and range, the counts of the n-grams of the training texts (first -1), and for each run's block
+    the levels that the range's segment gives back, in the order of the block."""
 
     def merge(key, rows: pd.DataFrame) -> pd.DataFrame:
-        kind = int(key[0])
-        parts = [_unpack(kind, k, c, m) for k, c, m in zip(rows["keys"], rows["counts"], rows["more"], strict=True)]
-        k, c = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(k)
-        k, c = k[order], c[order]
-        head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        k, c = k[head], np.add.reduceat(c, head)
-        more = c > 1
-        block = (kind, int(key[1]), np.concatenate((k[~more], k[more])).tobytes(), c[more].astype(np.uint32 if c.max() < 1 << 32 else np.uint64).tobytes(), int(more.sum()))
-        return pd.DataFrame([block], columns=["kind", "part", "keys", "counts", "more"])
+        kind, part = int(key[0]), int(key[1])
+        sent = [np.frombuffer(k, np.uint32 if kind == _PAIR else np.uint64) for k in rows["keys"]]
+        sizes = [len(k) for k in sent]
+        keys, of = np.unique(np.concatenate(sent), return_inverse=True)
+        c = np.bincount(of, np.concatenate([_large(x, n) for x, n in zip(rows["counts"], sizes, strict=True)])).astype(np.int64)
+        held = c > 0
+        probed = keys.astype(np.uint64) if kind == _PAIR else keys >> np.uint64(32 - bits)
+        level = probe(fill(kind, probed[held], c[held]), kind, probed)[of].astype(np.uint8)
+        out = [(int(n), kind, part, b"", x.tobytes(), 0) for n, x in zip(rows["first"], np.split(level, np.cumsum(sizes)[:-1]), strict=True)]
+        if held.any():
+            k, c = keys[held], c[held]
+            more = c > 1
+            counts = c[more].astype(np.uint32 if c.max() < 1 << 32 else np.uint64).tobytes()
+            out.append((-1, kind, part, np.concatenate((k[~more], k[more])).tobytes(), counts, int(more.sum())))
+        return pd.DataFrame(out, columns=_NAMES)
+
+    return probes.groupBy("kind", "part").applyInPandas(merge, _BLOCK)
+
+
+def _gathered(train: DataFrame, bits: int) -> DataFrame:
+    """All n-gram counts of the training texts, one block for each kind and range."""
+    docs = train.select(F.lit(0).alias("doc_id"), F.lit(True).alias("train"), "text")
+    return _answered(_probes(_cut(docs), bits), bits).where("first < 0")
 
-    return train.mapInArrow(collect, _BLOCK).groupBy("kind", "part").applyInPandas(merge, _BLOCK)
+
+def _unpack(kind: int, keys: bytes, counts: bytes, more: int) -> tuple[np.ndarray, np.ndarray]:
+    k = np.frombuffer(keys, np.uint32 if kind == _PAIR else np.uint64)
+    c = np.ones(len(k), np.int64)
+    if more:
+        c[-more:] = np.frombuffer(counts, np.uint32 if len(counts) == 4 * more else np.uint64)
+    return k, c
 
 
 def _levels(c: np.ndarray) -> np.ndarray:
@@ -130,7 +165,7 @@ def _levels(c: np.ndarray) -> np.ndarray:
 
 
 def _word_counts(blocks: DataFrame) -> DataFrame:
-    """(hash, c) for every training token."""
+    """(hash, c) for every training token, by its hash as a single."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,102 +213,67 @@ def _places(keys: np.ndarray, level: int, size: int) -> list[np.ndarray]:
     return [((x * wide) >> np.uint64(32)).astype(np.int64) for x in (a & low, a >> np.uint64(32), b & low, b >> np.uint64(32))][:PROBES]
 
 
+def _places_of(kind: int, keys: np.ndarray, level: int, size: int) -> list[np.ndarray]:
+    return _places((keys & np.uint64(0xFFFFFFFF)) * np.uint64(4) + np.uint64(kind), level, size)
+
+
+def fill(kind: int, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The segment of a range: each n-gram at every level up to its own, in BITS_EACH bits for each of them."""
+    level = _levels(c)
+    seg = np.zeros(max(64, BITS_EACH * int(level.sum())), bool)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        for place in _places_of(kind, keys[level >= j], j, len(seg)):
+            seg[place] = True
+    return seg
+
+
+def probe(seg: np.ndarray, kind: int, keys: np.ndarray) -> np.ndarray:
+    """The levels that a segment gives back; 0 for n-grams that it doesn't hold."""
+    level = np.zeros(len(keys), np.int64)
+    alive = np.arange(len(keys))
+    for j in range(1, TOP + 1):
+        ok = np.ones(len(alive), bool)
+        for place in _places_of(kind, keys[alive], j, len(seg)):
+            ok &= seg[place]
+        alive = alive[ok]
+        if not len(alive):
+            break
+        level[alive] = j
+    return level
+
+
 @dataclass
 class Filter:
-    """The filter's bytes with what is needed to read it; ``lowest`` and ``means`` are by kind."""
+    """The segments of a small model by kind and range, with the mean counts of the levels by kind."""
 
     bits: int
-    size: int
-    data: np.ndarray
-    lowest: dict[int, int]
+    segments: dict[tuple[int, int], np.ndarray]
     means: dict[int, np.ndarray]
 
     def counts(self, kind: int, hashes: np.ndarray) -> np.ndarray:
         """Mean counts of the levels that the filter gives back; 0 for n-grams that it doesn't hold."""
-        keys = _filter_keys(kind, hashes, self.bits)
-        base = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) * self.size
+        part = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         level = np.zeros(len(hashes), np.int64)
-        alive = np.arange(len(hashes))
-        for j in range(self.lowest[kind], TOP + 1):
-            ok = np.ones(len(alive), bool)
-            for place in _places(keys[alive], j, self.size):
-                at = base[alive] + place
-                ok &= (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            alive = alive[ok]
-            if not len(alive):
-                break
-            level[alive] = j
+        for p in np.unique(part):
+            if (seg := self.segments.get((kind, int(p)))) is not None:
+                level[part == p] = probe(seg, kind, hashes[part == p] >> np.uint64(32 - self.bits))
         return self.means[kind][level]
 
 
-def _filter_keys(kind: int, hashes: np.ndarray, bits: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)) * np.uint64(4) + np.uint64(kind)
-
-
-def build_filter(blocks: DataFrame, hist: pd.DataFrame, bits: int, max_bits: int = MAX_BITS) -> Filter:
-    """Fill the filter range by range; the driver gets its ``max_bits`` at most."""
-    n = {k: np.zeros(TOP + 1, np.int64) for k in (_WORD, _PAIR)}
-    total = {k: np.zeros(TOP + 1, np.int64) for k in (_WORD, _PAIR)}
+def level_means(hist: pd.DataFrame) -> dict[int, np.ndarray]:
+    means = {k: np.zeros(TOP + 1) for k in (_WORD, _PAIR)}
     for r in hist.itertuples():
-        n[r.kind][r.level] = r.n
-        total[r.kind][r.level] = r.total
-    lowest = {_WORD: 1, _PAIR: 1}
-    held = lambda k: int(sum((j - lowest[k] + 1) * n[k][j] for j in range(lowest[k], TOP + 1)))
-    for kind in (_PAIR, _WORD):
-        while BITS_EACH * (held(_WORD) + held(_PAIR)) > max_bits and lowest[kind] < TOP:
-            lowest[kind] += 1
-    parts = 1 << bits
-    size = max(64, min(max_bits, BITS_EACH * (held(_WORD) + held(_PAIR))) // parts // 8 * 8)
-
-    def fill(key, rows: pd.DataFrame) -> pd.DataFrame:
-        seg = np.zeros(size, np.uint8)
-        for r in rows.itertuples():
-            k, c = _unpack(r.kind, r.keys, r.counts, r.more)
-            level = _levels(c)
-            if r.kind == _WORD:
-                k = singles_key(k, bits)
-            k = k.astype(np.uint64) * np.uint64(4) + np.uint64(r.kind)
-            for j in range(lowest[r.kind], int(level.max()) + 1):
-                for place in _places(k[level >= j], j, size):
-                    seg[place] = 1
-        return pd.DataFrame([(int(key[0]), np.packbits(seg, bitorder="little").tobytes())], columns=["part", "seg"])
-
-    rows = _by_filter_part(blocks, bits).groupBy("part").applyInPandas(fill, "part int, seg binary")
-    data = np.zeros(parts * size // 8, np.uint8)
-    for r in rows.toLocalIterator():
-        seg = np.frombuffer(r["seg"], np.uint8)
-        data[r["part"] * len(seg) : (r["part"] + 1) * len(seg)] = seg
-    means = {k: total[k] / np.maximum(1, n[k]) for k in n}
-    return Filter(bits, size, data, lowest, means)
-
-
-def singles_key(tokens: np.ndarray, bits: int) -> np.ndarray:
-    return (singles(tokens) >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
-
-
-def _by_filter_part(blocks: DataFrame, bits: int) -> DataFrame:
-    """Words are dealt out anew: their blocks are ranges of token hashes, the filter's are of n-gram hashes."""
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for r in b.to_pylist():
-                if r["kind"] == _PAIR:
-                    rows.append(tuple(r[c] for c in ("kind", "part", "keys", "counts", "more")))
-                else:
-                    k, c = _unpack(_WORD, r["keys"], r["counts"], r["more"])
-                    order = np.argsort(singles(k))
-                    k, c = k[order], c[order]
-                    where = (singles(k) >> np.uint64(64 - bits)).astype(np.int64)
-                    edge = np.flatnonzero(np.r_[True, where[1:] != where[:-1], True])
-                    for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                        more = c[lo:hi] > 1
-                        rows.append((_WORD, int(where[lo]), np.concatenate((k[lo:hi][~more], k[lo:hi][more])).tobytes(), c[lo:hi][more].astype(np.uint64).tobytes(), int(more.sum())))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], ["kind", "part", "keys", "counts", "more"])
+        means[r.kind][r.level] = r.total / r.n
+    return means
+
 
-    return blocks.mapInArrow(deal, _BLOCK)
+def build_filter(blocks: DataFrame, hist: pd.DataFrame, bits: int) -> Filter:
+    """All segments on the driver, for models that fit there; scoring leaves them where the ranges are."""
+    segments = {}
+    for r in blocks.toLocalIterator():
+        k, c = _unpack(r["kind"], r["keys"], r["counts"], r["more"])
+        segments[r["kind"], r["part"]] = fill(r["kind"], k.astype(np.uint64) if r["kind"] == _PAIR else k >> np.uint64(32 - bits), c)
+    return Filter(bits, segments, level_means(hist))
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -289,7 +289,8 @@ def language_model_scores(
     Tokens are the words (A-Z lower-cased) and one end.  ``train`` is a condition on the columns of ``docs``; rows
     for which it is true are learned from.  base_score sums log10((c + 1) / (N + V + 1)) over the tokens, with exact
     training counts c, tokens N and distinct tokens V.  score sums log10 of (c(vw) + weight * p(w)) / (c(v) + weight)
-    with the counts that the filter gives back and p(w) = (c(w) + 1) / (N + V + 1).
+    with the counts that the filter gives back and p(w) = (c(w) + 1) / (N + V + 1).  ``max_bits`` bounds one range of
+    the filter: there are as many ranges as keep to it.
 
     Defined cases: a null or empty text has one token, the end; a null doc_id is scored, and learned from where
     ``train`` is true (a null condition is false); repeated rows all count and are each returned; without training
@@ -299,59 +300,73 @@ def language_model_scores(
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    volume = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(24, max(4, math.ceil(math.log2(max(1, volume / (4 << 20))))))
-    blocks = durable(_gathered(slim.where("train").select("text"), bits), "ngrams")
+    volume, rows = (x or 0 for x in slim.agg(F.sum(F.octet_length("text")), F.count("*")).first())
+    most = BITS_EACH * (volume / 2 + 2 * rows)  # levels of a kind are no more than its tokens
+    bits = min(24, max(4, math.ceil(math.log2(max(1, volume / (4 << 20), most / max_bits)))))
+    cut = durable(_cut(slim), "slices")
+    answers = durable(_answered(_probes(cut, bits), bits), "ngrams")
+    blocks = answers.where("first < 0")
     hist = _histogram(blocks)
     of_words = hist[hist["kind"] == _WORD]
     n_train, v = int(of_words["total"].sum()), int(of_words["n"].sum())
-    bloom = build_filter(blocks, hist, bits, max_bits)
     counts = _word_counts(blocks)
     top = _frequent(counts, frequent).toPandas()
     hashes = top["hash"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    sent = spark.sparkContext.broadcast((hashes[order], top["c"].to_numpy(np.int64)[order], bloom))
+    sent = spark.sparkContext.broadcast((hashes[order], top["c"].to_numpy(np.int64)[order], level_means(hist)))
     space = n_train + v + 1
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, c_known, bloom = sent.value
-        for b in slices(batches, "text"):
-            tokens, first = with_ends(scan(b.column("text"), FOLDED))
-            codes, unique = pd.factorize(tokens)
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, c_known, means = sent.value
+        left = left.sort_by("row").combine_chunks().to_batches()[0]
+        of_run, kinds, parts = (right.column(c).to_numpy() for c in ("first", "kind", "part"))
+        starts = np.unique(of_run)
+        edges = np.r_[np.searchsorted(left.column("row").to_numpy(), starts), left.num_rows]
+        out = []
+        for start, lo, hi in zip(starts, edges[:-1], edges[1:], strict=True):
+            b = left.slice(lo, hi - lo)
+            tokens, first, found = _distinct(b.column("text"), bits)
+            near = {}
+            for kind in found:
+                at = np.flatnonzero((of_run == start) & (kinds == kind))
+                levels = right.column("counts").take(pa.array(at[np.argsort(parts[at])])).to_pylist()
+                near[kind] = means[kind][np.frombuffer(b"".join(levels), np.uint8)]
+            unique, codes = found[_WORD]
+            words = unique[codes]
             i = np.minimum(np.searchsorted(known, unique), max(0, len(known) - 1))
             hit = known[i] == unique if len(known) else np.zeros(len(unique), bool)
             exact = np.where(hit, c_known[i], 0) if len(known) else np.zeros(len(unique), np.int64)
-            near = bloom.counts(_WORD, singles(unique))
-            near = np.where(hit, exact, near)
-            c1 = near[codes]
-            start = bloom.counts(_WORD, singles(np.array([END])))
-            c0 = np.concatenate((start, c1[:-1]))[: len(c1)]
-            pair_codes, unique_pairs = pd.factorize(pairs(tokens))
-            c2 = bloom.counts(_PAIR, unique_pairs)[pair_codes]
-            c2 = np.minimum(c2, c1)
+            c1 = np.where(hit, exact, near[_WORD])[codes]
+            c0 = np.concatenate((c1[-1:], c1[:-1]))  # the last token is an end
+            c2 = np.minimum(near[_PAIR][found[_PAIR][1]], c1)
             p = (c2 + weight * (c1 + 1) / space) / (np.maximum(c0, c2) + weight)
             seen = hit[codes]
             doc = np.repeat(np.arange(b.num_rows), np.diff(first))
             rest = np.flatnonzero(~seen)
-            key = np.lexsort((tokens[rest], doc[rest]))
-            rest = rest[key]
-            head = np.flatnonzero(np.r_[True, (tokens[rest][1:] != tokens[rest][:-1]) | (doc[rest][1:] != doc[rest][:-1])][: len(rest)])
+            order = np.lexsort((words[rest], doc[rest]))
+            rest = rest[order]
+            head = np.flatnonzero(np.r_[True, (words[rest][1:] != words[rest][:-1]) | (doc[rest][1:] != doc[rest][:-1])][: len(rest)])
             times = np.diff(np.r_[head, len(rest)])
             sizes = np.bincount(doc[rest[head]], minlength=b.num_rows)
-            yield arrow(
-                {
-                    "row": b.column("row"), "doc_id": b.column("doc_id"), "train": b.column("train"), "n_tokens": np.diff(first).astype(np.int64),
-                    "n_seen": _sums(seen, first).astype(np.int64), "logs": _sums(np.log10(exact[codes] + 1.0), first), "score": _sums(np.log10(p), first),
-                    "rare": lists(signed(tokens[rest[head]]), sizes, pa.int64()), "times": lists(times.astype(np.int32), sizes, pa.int32()),
-                }
+            out.append(
+                arrow(
+                    {
+                        "row": b.column("row"), "doc_id": b.column("doc_id"), "train": b.column("train"), "n_tokens": np.diff(first).astype(np.int64),
+                        "n_seen": _sums(seen, first).astype(np.int64), "logs": _sums(np.log10(exact[codes] + 1.0), first), "score": _sums(np.log10(p), first),
+                        "rare": lists(signed(words[rest[head]]), sizes, pa.int64()), "times": lists(times.astype(np.int32), sizes, pa.int32()),
+                    }
+                )
             )
+        return pa.Table.from_batches(out)
 
     if not n_train:
         words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
         zero = F.lit(0).cast("long")
         return slim.select("doc_id", "train", (words + 1).cast("long").alias("n_tokens"), zero.alias("n_known"), zero.alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
     schema = f"row long, doc_id {kind}, train boolean, n_tokens long, n_seen long, logs double, score double, rare array<long>, times array<int>"
-    scored = durable(slim.withColumn("row", F.monotonically_increasing_id()).mapInArrow(score, schema), "scored")
+    asked = answers.where("first >= 0").select("first", "kind", "part", "counts")
+    by_slice = [d.groupBy(F.expr(f"{c} div {ROWS}")) for d, c in ((cut, "row"), (asked, "first"))]
+    scored = durable(by_slice[0].cogroup(by_slice[1]).applyInArrow(score, schema), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("hash"), F.col("x.times").alias("times"))
     found = rare.join(counts, "hash").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("rest"))
     return scored.join(found, "row", "left").select(
