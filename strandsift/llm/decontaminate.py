@@ -67,8 +67,8 @@ class Block:
     budget: list[int]
     pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # length: seen bits, hashes, items, places
 
-    def hits(self, words: Words) -> Iterator[tuple[int, int]]:
-        """(item, implied first word in the whole slice) for every piece found."""
+    def hits(self, words: Words) -> Iterator[tuple[int, int, int]]:
+        """(item, word of the hit, implied first word of the item, both in the whole slice) for every piece found."""
         for length, (seen, keys, item, place) in self.pieces.items():
             h, at = grams(words, length)
             maybe = np.flatnonzero(seen[h >> np.uint64(64 - _BITS)])
@@ -76,7 +76,7 @@ class Block:
             hi = np.searchsorted(keys, h[maybe], "right")
             for i, a, z in zip(at[maybe[hi > lo]], lo[hi > lo], hi[hi > lo], strict=True):
                 for k in range(a, z):
-                    yield int(item[k]), int(i - place[k])
+                    yield int(item[k]), int(i), int(i - place[k])
 
 
 def block(ids: list, tokens: list[np.ndarray], rate: float) -> Block:
@@ -103,11 +103,9 @@ def find(words: Words, items: Block) -> list[tuple[int, int, int, int, int]]:
     fewest edits, of those the first."""
     doc_of = np.searchsorted(words.first, np.arange(len(words.hash)), "right") - 1 if len(words.hash) else np.zeros(0, int)
     places: dict[tuple[int, int], set[int]] = {}
-    for item, at in items.hits(words):
+    for item, i, at in items.hits(words):
         # the hit lies inside one document; the implied start may not
-        inside = min(max(at, 0), len(words.hash) - 1)
-        for d in {int(doc_of[inside]), int(doc_of[min(inside + len(items.tokens[item]) - 1, len(words.hash) - 1)])}:
-            places.setdefault((d, item), set()).add(at)
+        places.setdefault((int(doc_of[i]), item), set()).add(at)
     out = []
     for (d, item), starts in sorted(places.items()):
         tokens, e = items.tokens[item], items.budget[item]

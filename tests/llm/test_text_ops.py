@@ -75,6 +75,15 @@ def test_contamination(spark):
     assert D.contamination(df.limit(0), bench).count() == 0 and D.contamination(df, bench.limit(0)).count() == 0
 
 
+def test_items_without_first_and_last_token():
+    """A document that is shorter than the item, between two others in one slice, is verified itself."""
+    item = [f"t{i}" for i in range(40)]
+    texts = ["a b c d", " ".join(item[1:-1]), "e f g h", " ".join(item[3:-2]), "", "i j k l"]
+    scan = lambda x: D.scan(pa.array(x), D.FOLDED, D.LOOSE)
+    block = D.block(["q"], [scan([" ".join(item)]).hash], D.RATE)
+    assert [f[:3] for f in D.find(scan(texts), block)] == [(1, 0, 2), (3, 0, 5)]
+
+
 def test_items_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"w{i} x y z v{i}") for i in range(30)], "doc_id long, text string")
     bench = df.withColumnRenamed("doc_id", "item_id")
