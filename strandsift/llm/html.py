@@ -1,33 +1,33 @@
 """Main text of web pages by wrapper induction.
 
-Pages of one host come from the same template.  A bounded sample of each host's pages is parsed and aligned tree by
-tree with simple tree matching: nodes whose text is the same on most pages are template, the others are slots whose
-text varies.  A slot is content unless it lies in a part that is never the article (navigation, footer, adverts, forms,
-comments, ...) or mostly holds links.  Every page is then read with its host's template; where the host has too few
-different pages for one, the rules for single pages decide alone.
-
-Scale: html is parsed inside tasks, a page at a time.  Hosts are counted with partial sums; a page is in its host's
-sample by a hash against 24 over that count, so a host with a third of all pages sends no more rows than any other.
+Pages of one host come from the same templates.  All different pages of a host are laid over one another; siblings of one
+name are one node, so a node is known by its path.  Texts that stand on most of the pages that have their node are
+template, the other nodes are slots whose text varies.  A slot is content unless it lies in a part that is never the article
+(navigation, footer, adverts, forms, comments, ...) or mostly holds links.  Every page is then read with its host's
+template; nodes that fewer than LEAST different pages of a host have, are judged by the rules for single pages alone.
+
+Scale: html is parsed inside tasks, a page at a time, and leaves them as hashes of its texts by node; equal pages are
+one, and counts are partial sums by host, node and text, so a host with a third of all pages is dealt out like any other.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import durable
 
-SAMPLE_PAGES = 24
 BROADCAST_HOSTS = 20_000
-#: A text that this share of a host's sampled pages (five at least) has in one slot is template.  Inside the article
-#: itself nearly all pages must have it, since many pages of a host may be copies of one article.
+#: A text that this share of the different pages with its node (LEAST at least) has there is template.  Inside the
+#: article itself nearly all pages must have it, since many pages of a host may be copies of one article.
+LEAST = 5
 CONSTANT = 0.6
 CONSTANT_IN_MAIN = 0.95
 
@@ -227,52 +227,31 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
     return best[m][n] + 1, pairs[::-1]
 
 
-def align(template: Node, page: Node) -> None:
-    """Merge a page into the template: matched nodes gather its texts, other nodes become optional ones."""
-    template.pages += page.pages
-    template.size += page.size
-    template.links += page.links
-    for t in page.texts:
-        template.texts[t] = template.texts.get(t, 0) + 1
-    pairs = {id(b): a for a, b in match(template, page)[1]}
-    place = 0
-    for c in list(page.children):
-        if id(c) in pairs:
-            align(pairs[id(c)], c)
-            place = template.children.index(pairs[id(c)]) + 1
-        else:
-            other = next((x for x in template.children if x.name == c.name), None)
-            if other:
-                align(other, c)
-            else:
-                template.children.insert(place, c)
-                place += 1
-
-
-def induce(pages: list[str | None]) -> dict[str, list]:
-    """Slots by path: [content or not, texts of the template]."""
-    different: dict[tuple, list[Block]] = {}
-    for p in pages:
-        parsed = blocks(p)
-        if parsed:
-            different.setdefault(tuple((b.path, b.text) for b in parsed if not boilerplate(b.path)), parsed)
-    found = list(different.values())
-    root = Node("")
-    for p in found:
-        align(root, tree(p))
-    out: dict[str, list] = {}
-
-    def walk(node: Node, path: tuple[str, ...]) -> None:
-        if node.texts:
-            share = CONSTANT_IN_MAIN if in_main(path) else CONSTANT
-            fixed = [t for t, n in node.texts.items() if n >= 5 and n >= share * len(found)]
-            content = not boilerplate(path) and node.links <= 0.5 * node.size
-            out["/".join(path)] = [content, fixed]
-        for c in node.children:
-            walk(c, (*path, c.name))
-
-    walk(root, ())
-    return out
+def node_key(path: tuple[str, ...]) -> str:
+    """A node in a template; '!' marks those inside the article."""
+    return ("!" if in_main(path) else "") + "/".join(path)
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def outline(page: str | None) -> list[tuple[str, int | None, int, int]]:
+    """(path, hash of the text, characters, characters in links) of a page's texts that may be content, and one row
+    without a text for each of their nodes and the nodes above."""
+    texts: dict[tuple[str, int], list[int]] = {}
+    nodes: dict[str, None] = {}
+    known: dict[tuple[str, ...], bool] = {}
+    for b in blocks(page):
+        if b.path not in known:
+            known[b.path] = not boilerplate(b.path)
+            if known[b.path]:
+                nodes |= dict.fromkeys(node_key(b.path[:k]) for k in range(len(b.path) + 1))
+        if known[b.path]:
+            x = texts.setdefault((node_key(b.path), _hash(b.text)), [0, 0])
+            x[0] += len(b.text)
+            x[1] += b.links
+    return [(n, None, 0, 0) for n in sorted(nodes)] + [(*k, *v) for k, v in sorted(texts.items())]
 
 
 def main_text(page: str | None, template: dict[str, list]) -> str:
@@ -283,11 +262,11 @@ def main_text(page: str | None, template: dict[str, list]) -> str:
     kept = []
     for b in parsed:
         if b.path not in known:
-            slot = template.get("/".join(b.path))
-            content = slot[0] if slot else not boilerplate(b.path)
+            slot = template.get(node_key(b.path))
+            content = not boilerplate(b.path) and (not slot or slot[0])
             known[b.path] = (content and (not scope or in_main(b.path)), frozenset(slot[1]) if slot else ())
         content, fixed = known[b.path]
-        if content and b.text not in fixed and (scope or b.links <= 0.5 * len(b.text)):
+        if content and not (fixed and _hash(b.text) in fixed) and (scope or b.links <= 0.5 * len(b.text)):
             kept.append(b.text)
     return "\n\n".join(kept)
 
@@ -297,18 +276,38 @@ def host_of(url):
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template) from (page_id, host, html): induced from about SAMPLE_PAGES pages of each host."""
-    counts = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    few = counts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    steps = 1 << 30
-    sample = pages.join(F.broadcast(counts) if few else counts, "host")
-    sample = sample.where(F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), "html"), "url"), F.lit(steps)) * F.col("pages") < F.lit(steps * SAMPLE_PAGES)).select("host", "html")
-
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        found = induce([p if isinstance(p, str) else None for p in sorted(rows["html"].fillna(""))])
-        return pd.DataFrame({"host": [key[0]], "template": [json.dumps(found)]})
-
-    return sample.groupBy("host").applyInPandas(run, "host string, template string")
+    """(host, template) from (host, html), over all pages: by path [content or not, hashes of the template's texts].
+    Nodes of which there is nothing to say are left out."""
+    kind = "host string, page binary, nodes array<struct<path:string,text:long,size:long,links:long>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item = pa.list_(pa.struct([("path", pa.string()), ("text", pa.int64()), ("size", pa.int64()), ("links", pa.int64())]))
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                found = [outline(p.as_py()) for p in part.column("html")]
+                keys = [hashlib.blake2b(repr([n[:2] for n in f]).encode("utf-8", "surrogatepass"), digest_size=16).digest() for f in found]
+                rows = [[dict(zip(("path", "text", "size", "links"), n, strict=True)) for n in f] for f in found]
+                yield pa.RecordBatch.from_arrays([part.column("host"), pa.array(keys, pa.binary()), pa.array(rows, item)], ["host", "page", "nodes"])
+
+    different = pages.select("host", "html").mapInArrow(run, kind).groupBy("host", "page").agg(F.max("nodes").alias("nodes"))
+    cells = different.select("host", F.explode("nodes").alias("n")).groupBy("host", "n.path", "n.text")
+    cells = cells.agg(F.count("*").alias("n"), F.sum("n.size").alias("size"), F.sum("n.links").alias("links"))
+    often = F.when((F.col("n") >= LEAST) & F.col("text").isNotNull(), F.struct("text", "n"))
+    slots = cells.groupBy("host", "path").agg(
+        F.max(F.when(F.col("text").isNull(), F.col("n"))).alias("pages"), F.sum("size").alias("size"), F.sum("links").alias("links"), F.collect_list(often).alias("often")
+    )
+    slots = slots.withColumn("content", F.col("links") <= 0.5 * F.col("size")).where("size > 0 and (not content or size(often) > 0)")
+
+    def write(rows: list) -> str:
+        out = {}
+        for r in sorted(rows, key=lambda r: r["path"]):
+            least = (CONSTANT_IN_MAIN if r["path"].startswith("!") else CONSTANT) * r["pages"]
+            out[r["path"]] = [r["content"], sorted(x["text"] for x in r["often"] if x["n"] >= least)]
+        return json.dumps(out)
+
+    slot = F.struct("path", "pages", "content", "often")
+    return slots.groupBy("host").agg(F.collect_list(slot).alias("slots")).select("host", F.udf(write, "string")("slots").alias("template"))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

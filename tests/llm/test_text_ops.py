@@ -156,6 +156,15 @@ def test_templates(spark):
     assert H.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_templates_of_layouts_that_few_pages_have(spark):
+    """One page in twenty of a host has its own layout; its fixed line is template there, by all pages of the layout."""
+    page = lambda i: f"<div class=rare><p>Text number {i} here</p><h4>Our fixed line</h4></div>" if i % 20 == 0 else f"<div><p>Plain text {i}</p></div>"
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(240)]
+    got = H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert not any("Our fixed line" in r["text"] for r in got)
+    assert all(f"{r['page_id']}" in r["text"] for r in got)
+
+
 def model_path():
     public = pytest.importorskip("public_tokenizers")
     return public.path("piece_bpe_32k.model")
