@@ -63,17 +63,27 @@ def _nodes(k: int, lo: int, hi: int) -> str:
 _CLASS = "CASE WHEN din = 0 AND dout = 0 THEN 'isolated' WHEN din = 1 AND dout = 1 THEN 'unary' WHEN dout = 0 THEN 'end' ELSE 'start' END"
 
 
+#: Rounds of pointer doubling in the SQL: chains of up to 2 ** 16 nodes are done by then; what is left goes in circles.
+_ROUNDS = 16
+
+
 def _walk(k: int) -> str:
-    """All unitigs from starts, with spelled strings."""
-    return f"""nxt AS MATERIALIZED (
-  SELECT u.a, u.x, v.x AS y FROM nd u JOIN nd v ON v.a = u.a AND substr(v.x, 1, {k - 1}) = substr(u.x, 2) WHERE u.din = 1 AND u.dout = 1
-), walk AS (
-  SELECT u.a, u.n, u.m, v.x AS at_, CAST(2 AS BIGINT) AS nodes, u.x || right(v.x, 1) AS seq
+    """All unitigs from starts, with spelled strings: pointers over unary nodes are doubled round by round."""
+    step = lambda i: f"""p{i} AS MATERIALIZED (
+  SELECT s.a, s.x, coalesce(t.tip, s.tip) AS tip, s.hops + coalesce(t.hops, 0) AS hops, coalesce(t.last_, s.last_) AS last_, s.done OR coalesce(t.done, false) AS done
+  FROM p{i - 1} s LEFT JOIN p{i - 1} t ON NOT s.done AND t.a = s.a AND t.x = s.tip
+)"""
+    return f"""p0 AS MATERIALIZED (
+  SELECT u.a, u.x, v.x AS tip, CAST(1 AS BIGINT) AS hops, u.x AS last_, NOT (v.din = 1 AND v.dout = 1) AS done
+  FROM nd u JOIN nd v ON v.a = u.a AND substr(v.x, 1, {k - 1}) = substr(u.x, 2) WHERE u.din = 1 AND u.dout = 1
+), {", ".join(step(i) for i in range(1, _ROUNDS + 1))}, inner_ AS MATERIALIZED (
+  SELECT a, last_, string_agg(right(x, 1), '' ORDER BY hops DESC) AS bases FROM p{_ROUNDS} WHERE done GROUP BY a, last_
+), first_ AS (
+  SELECT u.a, u.n, u.m, u.x AS start_, v.x AS second, v.din = 1 AND v.dout = 1 AS goes_on
   FROM nd u JOIN nd v ON v.a = u.a AND substr(v.x, 1, {k - 1}) = substr(u.x, 2) WHERE ({_CLASS.replace("din", "u.din").replace("dout", "u.dout")}) = 'start'
-  UNION ALL
-  SELECT walk.a, n, m, nxt.y, nodes + 1, seq || right(nxt.y, 1) FROM walk JOIN nxt ON nxt.a = walk.a AND nxt.x = walk.at_
 ), done AS MATERIALIZED (
-  SELECT walk.* FROM walk JOIN nd ON nd.a = walk.a AND nd.x = walk.at_ WHERE NOT (nd.din = 1 AND nd.dout = 1)
+  SELECT f.a, f.n, f.m, coalesce(p.hops, 0) + 2 AS nodes, f.start_ || coalesce(i.bases, '') || right(coalesce(p.tip, f.second), 1) AS seq
+  FROM first_ f LEFT JOIN p{_ROUNDS} p ON p.a = f.a AND p.x = f.second AND p.done LEFT JOIN inner_ i ON i.a = p.a AND i.last_ = p.last_ WHERE NOT f.goes_on OR p.tip IS NOT NULL
 )"""
 
 
@@ -210,9 +220,9 @@ def degree_distribution(spark, d):
     return E.graph(reads(spark, d), 15, 1, 5).groupBy("a", "din", "dout").agg(F.count("*").alias("nodes"))
 
 
-@query(f"WITH {READS}, {_nodes(8, 20, 20)} SELECT a, x AS kmer, n, coalesce(m, 0) AS m, din, dout FROM nd")
+@query(f"WITH {READS}, {_nodes(15, 3, 3)} SELECT a, x AS kmer, n, coalesce(m, 0) AS m, din, dout FROM nd")
 def node_degrees(spark, d):
-    return G.degrees(G.grid(K.abundances(K.forward_counts(reads(spark, d), 8)), 20, 20), 8).fillna(0, ["m"])
+    return G.degrees(G.grid(K.abundances(K.forward_counts(reads(spark, d), 15)), 3, 3), 15).fillna(0, ["m"])
 
 
 @query(f"WITH {READS}, {_nodes(15, 1, 5)} SELECT a, {_CLASS} AS kind, count(*) AS nodes FROM nd GROUP BY 1, 2")
@@ -220,21 +230,21 @@ def node_classes(spark, d):
     return E.graph(reads(spark, d), 15, 1, 5).groupBy("a", G.node_class().alias("kind")).agg(F.count("*").alias("nodes"))
 
 
-@query(f"WITH {READS}, {_nodes(11, 8, 8)} SELECT a, x AS kmer, din, dout FROM nd WHERE NOT (din = 1 AND dout = 1)")
+@query(f"WITH {READS}, {_nodes(15, 2, 2)} SELECT a, x AS kmer, din, dout FROM nd WHERE NOT (din = 1 AND dout = 1)")
 def branching_nodes(spark, d):
-    return E.graph(reads(spark, d), 11, 8, 8).where("not (din = 1 and dout = 1)").select("a", "kmer", "din", "dout")
+    return E.graph(reads(spark, d), 15, 2, 2).where("not (din = 1 and dout = 1)").select("a", "kmer", "din", "dout")
 
 
-@query(f"WITH {READS}, {_nodes(7, 50, 50)} SELECT u.a, u.x AS src, v.x AS dst FROM nd u JOIN nd v ON u.a = v.a AND substr(u.x, 2) = substr(v.x, 1, 6)")
+@query(f"WITH {READS}, {_nodes(15, 3, 3)} SELECT u.a, u.x AS src, v.x AS dst FROM nd u JOIN nd v ON u.a = v.a AND substr(u.x, 2) = substr(v.x, 1, 14)")
 def edge_list(spark, d):
-    return G.edges(G.grid(K.abundances(K.forward_counts(reads(spark, d), 7)), 50, 50), 7)
+    return G.edges(G.grid(K.abundances(K.forward_counts(reads(spark, d), 15)), 3, 3), 15)
 
 
-@query(f"""WITH {READS}, {_nodes(6, 200, 200)}, e AS (SELECT u.a, u.x AS src, v.x AS dst FROM nd u JOIN nd v ON u.a = v.a AND substr(u.x, 2) = substr(v.x, 1, 5))
-SELECT nd.a, nd.x AS kmer, coalesce((SELECT string_agg(dst, ',' ORDER BY dst) FROM e WHERE e.a = nd.a AND e.src = nd.x), '') AS successors,
-  coalesce((SELECT string_agg(src, ',' ORDER BY src) FROM e WHERE e.a = nd.a AND e.dst = nd.x), '') AS predecessors FROM nd""")
+@query(f"""WITH {READS}, {_nodes(15, 3, 3)}, e AS MATERIALIZED (SELECT u.a, u.x AS src, v.x AS dst FROM nd u JOIN nd v ON u.a = v.a AND substr(u.x, 2) = substr(v.x, 1, 14)),
+s AS (SELECT a, src AS x, string_agg(dst, ',' ORDER BY dst) AS t FROM e GROUP BY 1, 2), p AS (SELECT a, dst AS x, string_agg(src, ',' ORDER BY src) AS t FROM e GROUP BY 1, 2)
+SELECT nd.a, nd.x AS kmer, coalesce(s.t, '') AS successors, coalesce(p.t, '') AS predecessors FROM nd LEFT JOIN s ON s.a = nd.a AND s.x = nd.x LEFT JOIN p ON p.a = nd.a AND p.x = nd.x""")
 def node_neighbours(spark, d):
-    lists = G.neighbour_lists(G.grid(K.abundances(K.forward_counts(reads(spark, d), 6)), 200, 200), 6)
+    lists = G.neighbour_lists(G.grid(K.abundances(K.forward_counts(reads(spark, d), 15)), 3, 3), 15)
     return lists.select("a", "kmer", F.array_join("successors", ",").alias("successors"), F.array_join("predecessors", ",").alias("predecessors"))
 
 
@@ -269,32 +279,46 @@ def dbg_exact_counts(spark, d):
     return G.exact_counts(G.degrees(G.grid(K.abundances(K.forward_counts(reads(spark, d), 15)), 1, 5), 15))
 
 
-@query(f"WITH RECURSIVE {READS}, {_nodes(9, 40, 40)}, {_walk(9)} SELECT DISTINCT a, least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) AS seq FROM done")
-def unitig_sequences(spark, d):
-    return U.unitigs(E.graph(reads(spark, d), 9, 40, 40), 9)
+_UNITIGS = "u AS MATERIALIZED (SELECT DISTINCT a, least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) AS seq FROM done)"
 
 
-@query(f"""WITH RECURSIVE {READS}, {_nodes(10, 8, 10)}, {_walk(10)}, u AS MATERIALIZED (SELECT DISTINCT a, least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) AS seq FROM done),
+def _metrics_sql(k: int, lo: int, hi: int) -> str:
+    return f"""WITH {READS}, {_nodes(k, lo, hi)}, {_walk(k)}, {_UNITIGS},
 r AS (SELECT a, length(seq) AS l, sum(length(seq)) OVER (PARTITION BY a ORDER BY length(seq) DESC) AS run, sum(length(seq)) OVER (PARTITION BY a) AS total FROM u)
-SELECT a, count(*) AS nr_unitigs, round(avg(l), 4) AS avg_length_unitigs, round(sum(l * l) / sum(l), 4) AS e_size, CAST(max(CASE WHEN 2 * run >= total THEN l END) AS BIGINT) AS n50, round(avg(l) - 11, 4) AS avg_internal_nodes FROM r GROUP BY a""")
-def unitig_metrics(spark, d):
-    rows = U.unitig_metrics(U.unitigs(E.graph(reads(spark, d), 10, 8, 10), 10), 10)
+SELECT a, count(*) AS nr_unitigs, round(avg(l), 4) AS avg_length_unitigs, round(sum(l * l) / sum(l), 4) AS e_size, CAST(max(CASE WHEN 2 * run >= total THEN l END) AS BIGINT) AS n50, round(avg(l) - {k + 1}, 4) AS avg_internal_nodes FROM r GROUP BY a"""
+
+
+def _metrics(spark, d, k: int, lo: int, hi: int) -> DataFrame:
+    rows = U.unitig_metrics(U.unitigs(E.graph(reads(spark, d), k, lo, hi), k), k)
     return rows.select("a", "nr_unitigs", *(F.round(c, 4).alias(c) for c in ("avg_length_unitigs", "e_size", "avg_internal_nodes")), "n50")
 
 
-@query(f"""WITH RECURSIVE {READS}, {_nodes(10, 8, 10)}, {_walk(10)}, w AS (
-  SELECT a, nodes + 9 AS l, m / n AS w FROM done WHERE m IS NOT NULL UNION ALL SELECT a, 10, m / n FROM nd WHERE din = 0 AND dout = 0 AND m IS NOT NULL
-) SELECT a, round(sum(w), 4) AS unitigs, round(sum(w * l * l) / sum(w * l), 4) AS e_size FROM w GROUP BY a""")
+def _e_size_sql(k: int, lo: int, hi: int) -> str:
+    return f"""WITH {READS}, {_nodes(k, lo, hi)}, {_walk(k)}, w AS (
+  SELECT a, nodes + {k - 1} AS l, m / n AS w FROM done WHERE m IS NOT NULL UNION ALL SELECT a, {k}, m / n FROM nd WHERE din = 0 AND dout = 0 AND m IS NOT NULL
+) SELECT {k} AS k, a, round(sum(w), 4) AS unitigs, round(sum(w * l * l) / sum(w * l), 4) AS e_size FROM w GROUP BY a"""
+
+
+@query(f"WITH {READS}, {_nodes(15, 2, 2)}, {_walk(15)}, {_UNITIGS} SELECT a, seq FROM u")
+def unitig_sequences(spark, d):
+    return U.unitigs(E.graph(reads(spark, d), 15, 2, 2), 15)
+
+
+@query(_metrics_sql(17, 2, 3))
+def unitig_metrics(spark, d):
+    return _metrics(spark, d, 17, 2, 3)
+
+
+@query(_e_size_sql(17, 2, 3))
 def census_e_size(spark, d):
-    rows = U.e_size(U.census_lengths(E.graph(reads(spark, d), 10, 8, 10), 10), 10)
-    return rows.select("a", F.round("unitigs", 4).alias("unitigs"), F.round("e_size", 4).alias("e_size"))
+    rows = U.e_size(U.census_lengths(E.graph(reads(spark, d), 17, 2, 3), 17), 17)
+    return rows.select(F.lit(17).alias("k"), "a", F.round("unitigs", 4).alias("unitigs"), F.round("e_size", 4).alias("e_size"))
 
 
-@query()
+@query(_metrics_sql(31, 2, 3))
 def long_unitig_metrics(spark, d):
-    """Exact unitigs at k = 31, whose walks are as long as repeated texts: too deep for recursive SQL."""
-    rows = U.unitig_metrics(U.unitigs(E.graph(reads(spark, d), 31, 2, 3), 31), 31)
-    return rows.select("a", "nr_unitigs", *(F.round(c, 4).alias(c) for c in ("avg_length_unitigs", "e_size", "avg_internal_nodes")), "n50")
+    """Exact unitigs at k = 31, whose walks are as long as repeated texts."""
+    return _metrics(spark, d, 31, 2, 3)
 
 
 @query()
@@ -303,10 +327,10 @@ def estimated_landscape(spark, d):
     return E.estimate_landscape(reads(spark, d), [15, 17], 2, 3)
 
 
-@query()
-def optimal_k(spark, d):
+@query(f"WITH e AS (({_e_size_sql(15, 2, 3)}) UNION ALL ({_e_size_sql(21, 2, 3)})) SELECT a, CAST(arg_max(k, (e_size, -k)) AS INTEGER) AS k, max(e_size) AS e_size FROM e GROUP BY a")
+def best_k(spark, d):
     """The k with the largest E-size for each minimum abundance."""
-    return E.best_k(E.census_landscape(reads(spark, d), [13, 17], 2, 3))
+    return E.best_k(E.census_landscape(reads(spark, d), [15, 21], 2, 3)).select("a", "k", F.round("e_size", 4).alias("e_size"))
 
 
 _SIZE = "CAST(floor(power(1.96 / (q * e), 2) * q * (1 - q)) AS BIGINT)"
@@ -330,7 +354,7 @@ def sampled_census(spark, d):
     r = reads(spark, d)
     nodes = E.graph(r, 15, 1, 3)
     each = K.kmers(r, 15, "read_id")
-    drawn = durable(arithmetic_sample(each, F.col("read_id") * 7919 + F.col("pos") * 104729, 1000, 100).select("kmer"), "drawn")
+    drawn = durable(arithmetic_sample(each, F.col("read_id") * 7919 + F.col("pos").cast("long") * 104729, 1000, 100).select("kmer"), "drawn")
     scale = K.total_kmers(r, 15).crossJoin(drawn.agg(F.count("*").alias("drawn")))
     sums = drawn.join(nodes, "kmer").groupBy("a").agg(F.sum(F.lit(1.0) / F.col("n")).alias("nodes"), F.sum(F.when((F.col("din") == 1) & (F.col("dout") == 1), F.lit(1.0) / F.col("n")).otherwise(0.0)).alias("internal"))
     factor = F.col("total_kmers") * F.lit(1.0) / F.col("drawn")
@@ -494,7 +518,7 @@ def counted_pattern_file(spark, d):
     return sinks.counted_patterns(short_patterns(spark, d), "nations")
 
 
-@query(f"WITH RECURSIVE {READS}, {_nodes(9, 40, 40)}, {_walk(9)}, u AS (SELECT DISTINCT least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) AS seq FROM done) SELECT length(seq) AS size, count(*) AS n FROM u GROUP BY 1")
+@query(f"WITH {READS}, {_nodes(15, 2, 2)}, {_walk(15)}, {_UNITIGS} SELECT length(seq) AS size, count(*) AS n FROM u GROUP BY 1")
 def unitig_lengths(spark, d):
-    found = U.unitigs(E.graph(reads(spark, d), 9, 40, 40), 9)
+    found = U.unitigs(E.graph(reads(spark, d), 15, 2, 2), 15)
     return found.groupBy(F.length("seq").cast("long").alias("size")).agg(F.count("*").alias("n"))
