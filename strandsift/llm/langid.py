@@ -34,7 +34,7 @@ def letters() -> np.ndarray:
     global _letters
     if _letters is None:
         out = np.zeros(0x110000, np.uint32)
-        for c in range(0x32000):
+        for c in range(len(out)):
             ch = chr(c)
             if ch.isalpha():
                 low = ch.lower()

@@ -21,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegralType
 
 from .components import components
 from .durable import drop, durable
+from .names import fresh
 from .words import FACTORS, FOLDED, Words, binaries, grams, lists, mix, scan, signed, slices, whole
 
 SHINGLE = 5
@@ -232,9 +233,12 @@ def near_duplicates(
 
     Defined cases: a null or empty text has n_shingles 0 and stands alone; a null doc_id gets a null component_id and
     is kept, since no other row can name it, and links nothing; rows that repeat a doc_id are each returned, with
-    the component of their text; an empty table gives an empty result; other columns are not read.
+    the component of their text; an empty table gives an empty result; other columns are not read.  Ids are whole
+    numbers; ids of another type raise a ValueError.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise ValueError(f"{id_col} must be a whole number: components are named by their smallest id")
     sig = durable(signatures(docs, id_col, text_col), "signatures")
     known = sig.where("doc_id is not null and n_shingles > 0")
     classes = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
@@ -304,11 +308,13 @@ def near_duplicates(
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, **options) -> DataFrame:
     """``docs``, with all columns, without the rows that :func:`near_duplicates` doesn't keep.
 
-    Rows with a null doc_id all stay; of rows that repeat both a doc_id and its text one stays.
+    Rows with a null doc_id all stay; of rows that repeat both a doc_id and its text one stays; rows without words all
+    stay; an empty table gives an empty one; other columns may have any names.
     """
     gone = durable(near_duplicates(docs, id_col, text_col, percent, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
     rest = docs.join(gone, id_col, "left_anti")
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    (n,) = fresh(docs, "n")
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(id_col)
     if not twice.isEmpty():
         rest = rest.join(twice, id_col, "left_anti").unionByName(rest.join(twice, id_col, "left_semi").dropDuplicates([id_col, text_col]))
     return rest.select(*docs.columns)

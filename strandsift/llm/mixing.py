@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import fresh
+
 #: Larger rates are the sum of several draws with a rate of at most this.
 RATE_EACH = 16.0
 #: Steps of the distribution function; above RATE_EACH the chance of more is below 1e-28.
@@ -65,21 +67,24 @@ def mix_sources(
     seed: int = 17,
 ) -> DataFrame:
     """``docs`` with all columns, each row as often as drawn, in shuffled order, with the columns copy (from 1) and
-    shuffle_key (32 hexadecimal digits, ascending).  Columns of ``docs`` with these two names are replaced.
+    shuffle_key (32 hexadecimal digits, ascending).  Columns of ``docs`` with these two names (in any case) are replaced;
+    others may have any names.
 
     Defined cases: a null source is a source of its own; rows with a null doc_id are drawn by their text's md5; rows
     that repeat a doc_id get the same number of copies; an empty table gives an empty result.
     """
+    names = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    docs = docs.select(*names)
+    of, steps, parts, key, times = fresh(docs, "of", "steps", "parts", "key", "times")
     rates = mixing_rates(docs, source_col, weights, size)
-    parts = F.greatest(F.lit(1.0), F.ceil(F.col("rate") / RATE_EACH)).cast("int")
-    rates = rates.select(F.col("source").alias("_source"), parts.alias("_parts"), poisson_steps(F.col("rate") / parts).alias("_steps"))
+    n = F.greatest(F.lit(1.0), F.ceil(F.col("rate") / RATE_EACH)).cast("int")
+    rates = rates.select(F.col("source").alias(of), n.alias(parts), poisson_steps(F.col("rate") / n).alias(steps))
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rates = F.broadcast(rates) if few else rates
-    key = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    draw = lambda i: F.size(F.filter("_steps", lambda c: c <= uniform(F.lit(str(seed)), F.col("_key"), i.cast("string"))))
-    drawn = docs.drop("copy", "shuffle_key").withColumn("_key", key).join(rates, F.col(source_col).eqNullSafe(F.col("_source")))
-    drawn = drawn.withColumn("_times", F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, i: n + draw(i)))
-    copies = drawn.where("_times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col("_key"), F.col("copy").cast("string")).cast("binary"))
-    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    by = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    draw = lambda i: F.size(F.filter(steps, lambda c: c <= uniform(F.lit(str(seed)), F.col(key), i.cast("string"))))
+    drawn = docs.withColumn(key, by).join(rates, F.col(source_col).eqNullSafe(F.col(of)))
+    drawn = drawn.withColumn(times, F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda n, i: n + draw(i)))
+    copies = drawn.where(F.col(times) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(times))))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col(key), F.col("copy").cast("string")).cast("binary"))
     return copies.select(*names, "copy", order.alias("shuffle_key")).orderBy("shuffle_key")

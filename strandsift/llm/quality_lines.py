@@ -22,7 +22,9 @@ from .sampling import bounded_sample
 from .words import Words, mix, scan, slices
 
 SAMPLE = 4000
+#: Fitting takes runs of at most so many lines; a longer document gives FIT_RUNS of its runs, evenly spaced.
 FIT_LINES = 128
+FIT_RUNS = 2
 N_LINE = 11
 
 
@@ -157,17 +159,25 @@ def fit_chain(x: np.ndarray, chars: np.ndarray, first: np.ndarray, label: np.nda
     return model
 
 
+def _runs(n: int, most: int) -> list[tuple[int, int]]:
+    """Ranges of a document's n lines to fit on."""
+    count = -(-n // most)
+    chosen = range(count) if count <= FIT_RUNS else [round(i * (count - 1) / (FIT_RUNS - 1)) for i in range(FIT_RUNS)]
+    return [(i * most, min(n, (i + 1) * most)) for i in chosen]
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, most_lines: int = FIT_LINES) -> Model | None:
-    """A model from (doc_id, text) and (doc_id, label): about ``most`` labelled documents of up to ``most_lines`` lines."""
-    marks = bounded_sample(labels.where("doc_id is not null and label is not null").dropDuplicates(["doc_id"]), "doc_id", most)
+    """A model from (doc_id, text) and (doc_id, label): about ``most`` labelled documents, in runs of up to ``most_lines``
+    lines, so no document is too long to be learned from."""
+    known = labels.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.min("label").alias("label"))
+    marks = bounded_sample(known, "doc_id", most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             x, chars, first = line_features(scan(b.column("text")))
-            n = np.diff(first)
-            keep = np.flatnonzero((n > 0) & (n <= most_lines))
-            rows = [(x[first[d] : first[d + 1]].tobytes(), chars[first[d] : first[d + 1]].tobytes()) for d in keep]
-            yield pa.RecordBatch.from_arrays([b.column("label").take(pa.array(keep)), *(pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1))], ["label", "x", "chars"])
+            cut = [(d, first[d] + lo, first[d] + hi) for d, n in enumerate(np.diff(first)) for lo, hi in _runs(int(n), most_lines)]
+            rows = [(x[lo:hi].tobytes(), chars[lo:hi].tobytes()) for _, lo, hi in cut]
+            yield pa.RecordBatch.from_arrays([b.column("label").take(pa.array([d for d, _, _ in cut], pa.int64())), *(pa.array([r[i] for r in rows], pa.binary()) for i in (0, 1))], ["label", "x", "chars"])
 
     sample = docs.join(F.broadcast(marks), "doc_id").select(F.col("label").cast("int").alias("label"), "text").mapInArrow(run, "label int, x binary, chars binary").toPandas()
     if sample.empty or sample["label"].nunique() < 2:
@@ -187,7 +197,8 @@ def quality_scores(
     ``train`` is a condition on doc_id that tells which labels may be learned from.  Scores use nothing but the text.
 
     Defined cases: a null or empty text, or one without a word, scores the share of label 1 among the sampled labels;
-    null and repeated doc_ids are returned as they are (a null one is never learned from); without labels of both
+    null and repeated doc_ids are returned as they are (a null one is never learned from); of several labels of a
+    doc_id the least counts; without labels of both
     kinds all scores are 0.5; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -143,7 +143,8 @@ def _measured(docs: DataFrame, kind: str) -> DataFrame:
 
 
 def _fit(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int) -> Trees | None:
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label is not null").dropDuplicates(["doc_id"])
+    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label is not null")
+    marks = marks.groupBy("doc_id").agg(F.min("label").alias("label"))
     sample = measured.join(bounded_sample(marks, "doc_id", most), "doc_id").select(*FEATURES, "label").toPandas()
     if sample.empty or sample["label"].nunique() < 2:
         return None
@@ -165,7 +166,8 @@ def quality_rules(
     labelled rows, chosen by a hash of the id; everything else covers all rows.
 
     Defined cases: a null or empty text has counts of 0 and fails the base rule; a null doc_id is scored like any
-    other row but never fitted on; repeated rows are each returned; an empty table gives an empty result; without
+    other row but never fitted on; repeated rows are each returned; of several labels of a doc_id the least counts;
+    an empty table gives an empty result; without
     labels of both kinds the base rule alone decides and score is null; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -184,7 +186,10 @@ def quality_rules(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = 20_000, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns, without a shuffle of texts."""
+    """The rows of ``docs`` that :func:`quality_rules` keeps, with all their columns, without a shuffle of texts.
+
+    Defined cases: as in :func:`quality_rules`; other columns may have any names.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     measured = durable(_measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), kind), "statistics")
     model = _fit(measured, labels, id_col, label_col, most)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .durable import drop, durable
+from .names import fresh
 from .words import FACTORS, Words, grams, lists, mix, scan, signed, slices
 
 WINDOW = 50
@@ -257,13 +258,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts that lose nothing stay as they are, white space included; a text that loses all words becomes empty.  The
     column ``length_col``, where there is one, gets the new length in code points.
+
+    Defined cases: as in :func:`repeated_windows`; rows with a null doc_id and null texts stay as they are, rows that
+    repeat a doc_id are each returned, an empty table gives an empty one, and other columns may have any names.
     """
+    key, digest, kept = fresh(docs, "key", "digest", "kept")
     done = repeated_windows(docs, id_col, text_col, with_text=True, **options).where("kept_text is not null and doc_id is not null")
-    done = done.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_digest"])
+    done = done.select(F.col("doc_id").alias(key), F.col("digest").alias(digest), F.col("kept_text").alias(kept)).dropDuplicates([key, digest])
     words = F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    joined = docs.withColumn("_digest", F.unhex(F.sha2(words.cast("binary"), 256)))
-    joined = joined.join(done, (joined[id_col] == done["_id"]) & (joined["_digest"] == done["_digest"]), "left").drop("_digest", "_id")
-    new = joined.withColumn(text_col, F.coalesce("_kept", F.col(text_col)))
+    own = docs.withColumn(digest, F.unhex(F.sha2(words.cast("binary"), 256)))
+    joined = own.join(done.withColumnsRenamed({key: id_col}), [id_col, digest], "left")
+    new = joined.withColumn(text_col, F.coalesce(kept, F.col(text_col)))
     if length_col in docs.columns:
-        new = new.withColumn(length_col, F.when(F.col("_kept").isNotNull(), F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
+        new = new.withColumn(length_col, F.when(F.col(kept).isNotNull(), F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
     return new.select(*docs.columns)

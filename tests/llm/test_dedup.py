@@ -163,3 +163,19 @@ def test_remaining_text_keeps_layout():
     start = np.array([0, 2, 4, 7, 9])
     assert S.remaining_text(raw, start, np.array([False, True, True, False, False])) == "a d e\n"
     assert S.remaining_text(raw, start, np.array([False, False, False, True, True])) == "a b\nc"
+
+
+def test_clashing_names(spark):
+    """Columns with the names that helpers might have come out as they went in."""
+    t = " ".join(f"w{i}" for i in range(70))
+    rows = [(1, t, "a", "b", "c", "d", 4, "e"), (2, "x " + t, "f", "g", "h", "i", 5, "j"), (None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _digest string, _id string, _Kept string, key string, n int, _n string")
+    for out in (S.remove_repeats(df), M.drop_near_duplicates(df, percent=99)):
+        assert out.columns == df.columns
+        assert sorted(str(tuple(r)[2:]) for r in out.collect()) == sorted(str(r[2:]) for r in rows)
+    assert {r["doc_id"]: r["text"] for r in S.remove_repeats(df).collect()} == {1: t, 2: "x", None: None}
+
+
+def test_ids_of_other_types(spark):
+    with pytest.raises(ValueError, match="whole number"):
+        M.near_duplicates(spark.createDataFrame([("a", "b", "c")], "doc_id string, text string, extra string"))

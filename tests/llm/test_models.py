@@ -123,6 +123,26 @@ def test_line_classifier(spark):
     assert {r["score"] for r in C.quality_scores(docs, marks.limit(0), F.lit(True)).collect()} == {0.5}
 
 
+def test_long_documents_are_learned_from(spark):
+    """All bad documents are longer than a run of lines."""
+    rows, labels = good_and_bad(60, 4)
+    rows = [(i, "\n".join([t] * 60) if i % 3 == 0 else t, x) for i, t, x in rows]
+    docs, marks = tables(spark, rows, labels)
+    got = {r["doc_id"]: r["predicted"] for r in C.quality_scores(docs, marks, F.lit(True)).collect()}
+    assert all(got[i] == (i % 3 != 0) for i in got)
+    assert C._runs(0, 128) == [] and C._runs(128, 128) == [(0, 128)] and C._runs(200, 128) == [(0, 128), (128, 200)] and C._runs(1000, 128) == [(0, 128), (896, 1000)]
+
+
+def test_several_labels_of_a_document(spark):
+    """The least label counts, so a fit doesn't hang on the order of rows."""
+    rows, labels = good_and_bad(120, 5)
+    docs, marks = tables(spark, rows, labels + [(i, 1, 0) for i, q, _ in labels if q == 0])
+    once = tables(spark, rows, labels)[1]
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(Q.quality_rules(docs, marks.repartition(5))) == key(Q.quality_rules(docs, once))
+    assert key(C.quality_scores(docs, marks.repartition(5), F.lit(True))) == key(C.quality_scores(docs, once, F.lit(True)))
+
+
 def test_language_features_do_not_cross_texts():
     one = [L.features(*reversed(_buf([t]))) for t in ("abc déf", "Ölig", "12 .")]
     all_ = L.features(*reversed(_buf(["abc déf", "Ölig", "12 ."])))

@@ -110,6 +110,15 @@ def test_mixing(spark):
     assert X.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_clashing_names(spark):
+    rows = [(i, f"t{i}", "s", i, "k", 2, "p", "o", "C") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key long, _times string, _steps int, _parts string, _of string, COPY string")
+    got = X.mix_sources(docs).collect()
+    plain = X.mix_sources(docs.select("doc_id", "text", "source")).collect()
+    assert [(r["doc_id"], r["copy"], r["shuffle_key"]) for r in got] == [(r["doc_id"], r["copy"], r["shuffle_key"]) for r in plain]
+    assert all((r["_key"], r["_times"], r["_steps"], r["_parts"], r["_of"]) == (r["doc_id"], "k", 2, "p", "o") for r in got)
+
+
 @pytest.mark.parametrize("rate", [0.03, 1.0, 12.5])
 def test_poisson_steps(spark, rate):
     steps = spark.range(1).select(X.poisson_steps(F.lit(rate)).alias("s")).first()["s"]
@@ -339,6 +348,40 @@ def test_token_counts_equal_the_library(spark):
     assert T.token_counts(spark.createDataFrame([], "doc_id long, text string"), path).count() == 0
 
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_pipeline_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, nulls, repeated rows and columns with names that helpers might have."""
+    r = random.Random(12)
+    words = ["".join(r.choice("aeioubcdlmnrst") for _ in range(r.randint(2, 8))) for _ in range(300)]
+    good = [" ".join(r.choice(words) for _ in range(90)) for _ in range(3)]
+    more = "_key string, _digest string, _kept string, _times string, _n string, _parts string, label int, score double, page binary, count long"
+    rows = [(0, good[0]), (1, good[1]), (1, good[1]), (1, good[2]), (None, good[0]), (None, good[0]), (7, None), (8, ""), (None, None)]
+    wide = spark.createDataFrame([(d, t, None, None, None, *"abcdef", 1, 2.0, b"x", 3) for d, t in rows], f"{DOCS}, {more}")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {
+        "quality_rules": [(None, good[0])] * 2 + [(0, good[0]), (1, good[1]), (1, good[1]), (1, good[2])],
+        "near_dedup": [(None, good[0])] * 2 + [(0, good[0]), (1, good[1]), (1, good[2])],
+    }
+    left = wide
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, wide.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        left = stage(spark, left, str(tmp_path)).cache()
+        names = [*wide.columns, "copy", "shuffle_key"] if name == "mixing" else wide.columns
+        assert left.columns == names and empty.columns == names
+        got = left.collect()
+        assert all((x["_key"], x["_kept"], x["label"], x["score"], x["count"]) == ("a", "c", 1, 2.0, 3) for x in got)
+        if name != "mixing":
+            want[name] = want.get(name, want["near_dedup"])
+            assert sorted(map(str, ((x["doc_id"], x["text"]) for x in got))) == sorted(map(str, want[name]))
+    for name, stage in corpus_pipeline.STAGES[1:4]:  # null and empty texts stay where a stage doesn't judge texts
+        got = Counter((x["doc_id"], x["text"]) for x in stage(spark, wide, str(tmp_path)).collect())
+        assert got[(7, None)] == got[(8, "")] == got[(None, None)] == 1 and got[(None, good[0])] == 2
+
+
 def test_pipeline_stages(spark, tmp_path):
     r = random.Random(11)
     vocab = ["".join(r.choice("aeioubcdlmnrst") for _ in range(r.randint(2, 8))) for _ in range(500)]
