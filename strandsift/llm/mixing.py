@@ -82,9 +82,12 @@ def mix_sources(
     few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     rates = F.broadcast(rates) if few else rates
     by = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
-    draw = lambda i: F.size(F.filter(steps, lambda c: c <= uniform(F.lit(str(seed)), F.col(key), i.cast("string"))))
     drawn = docs.withColumn(key, by).join(rates, F.col(source_col).eqNullSafe(F.col(of)))
-    drawn = drawn.withColumn(times, F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda n, i: n + draw(i)))
+    draws = F.transform(F.sequence(F.lit(1), F.col(parts)), lambda i: uniform(F.lit(str(seed)), F.col(key), i.cast("string")))
+    drawn = drawn.withColumn(times, F.aggregate(draws, F.lit(0), lambda n, u: n + F.size(F.filter(steps, lambda c: c <= u))))
     copies = drawn.where(F.col(times) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(times))))
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit("order"), F.col(key), F.col("copy").cast("string")).cast("binary"))
-    return copies.select(*names, "copy", order.alias("shuffle_key")).orderBy("shuffle_key")
+    out = copies.select(*names, "copy", order.alias("shuffle_key"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = (F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("double") * n / F.lit(float(1 << 32))).cast("int")
+    return out.repartitionById(n, place).sortWithinPartitions("shuffle_key")
