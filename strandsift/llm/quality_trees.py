@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textstats as T
-from .durable import drop, durable
+from .durable import durable
 from .sampling import bounded_sample
 from .words import Words, scan, slices
 
@@ -133,23 +133,31 @@ def fit_trees(
     return Trees(np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value), np.array(roots), depth, float(start))
 
 
-def _measured(docs: DataFrame, kind: str) -> DataFrame:
+def _measured(docs: DataFrame, kind: str, *keep: str) -> DataFrame:
+    """Statistics of (doc_id, text), with the integer columns ``keep``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             base, rows = statistics(scan(b.column("text")))
-            yield T.arrow({"doc_id": b.column("doc_id"), **base, **{f: rows[:, i].astype(float) for i, f in enumerate(FEATURES)}})
+            yield T.arrow({"doc_id": b.column("doc_id"), **{c: b.column(c) for c in keep}, **base, **{f: rows[:, i].astype(float) for i, f in enumerate(FEATURES)}})
+
+    names = [f"doc_id {kind}", *(f"{c} int" for c in keep), *(f"{c} long" for c in BASE), *(f"{f} double" for f in FEATURES)]
+    return docs.select("doc_id", "text", *keep).mapInArrow(run, ", ".join(names))
 
-    return docs.mapInArrow(run, ", ".join([f"doc_id {kind}", *(f"{c} long" for c in BASE), *(f"{f} double" for f in FEATURES)]))
 
+def _marks(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
+    """(doc_id, label) of about ``most`` labelled ids; of several labels of an id the least."""
+    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
+    return bounded_sample(marks.groupBy("doc_id").agg(F.min("label").alias("label")), "doc_id", most)
 
-def _fit(measured: DataFrame, labels: DataFrame, id_col: str, label_col: str, most: int) -> Trees | None:
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).where("doc_id is not null and label is not null")
-    marks = marks.groupBy("doc_id").agg(F.min("label").alias("label"))
-    sample = measured.join(bounded_sample(marks, "doc_id", most), "doc_id").select(*FEATURES, "label").toPandas()
-    if sample.empty or sample["label"].nunique() < 2:
+
+def _fit(sample: DataFrame) -> Trees | None:
+    """Trees from the statistics and labels of sampled rows."""
+    rows = sample.select(*FEATURES, "label").toPandas()
+    if rows.empty or rows["label"].nunique() < 2:
         return None
-    sample = sample.sort_values(list(FEATURES))
-    return fit_trees(sample[list(FEATURES)].to_numpy(float), (sample["label"].to_numpy() == 1).astype(float), list(FEATURES.values()))
+    rows = rows.sort_values([*FEATURES, "label"])
+    return fit_trees(rows[list(FEATURES)].to_numpy(float), (rows["label"].to_numpy() == 1).astype(float), list(FEATURES.values()))
 
 
 def _base_failed(n: np.ndarray, repeat: np.ndarray) -> np.ndarray:
@@ -172,7 +180,7 @@ def quality_rules(
     """
     kind = docs.schema[id_col].dataType.simpleString()
     measured = durable(_measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), kind), "statistics")
-    model = _fit(measured, labels, id_col, label_col, most)
+    model = _fit(measured.join(_marks(labels, id_col, label_col, most), "doc_id"))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,9 +199,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     Defined cases: as in :func:`quality_rules`; other columns may have any names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    measured = durable(_measured(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), kind), "statistics")
-    model = _fit(measured, labels, id_col, label_col, most)
-    drop(measured)
+    marks = F.broadcast(_marks(labels, id_col, label_col, most))  # some 1.1 * most rows of an id and a label
+    marked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(marks, "doc_id")
+    model = _fit(_measured(marked, kind, "label"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text_col):
