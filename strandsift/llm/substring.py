@@ -6,8 +6,8 @@ around those that repeat are extended to twice the length, and so on until the a
 candidate survives.  The last level looks at every window that is left.
 
 Scale: all shuffled rows are a hash, a doc_id and a place; copies of whole documents are set aside by one hash
-first; a window that very many documents share is summed before the exchange and joined to its least doc_id with
-a splittable join.
+first; a window that very many documents share is summed before the exchange.  What the sums give is written down, so
+that the joins with it have a bare exchange on either side, which Spark splits where a window is hot.
 """
 
 from __future__ import annotations
@@ -217,15 +217,15 @@ def repeated_windows(
     steps = levels(window, base)
     scanned = durable(_scan_documents(slim, kind, steps[0], window), "scanned")
     able = scanned.where("doc_id is not null").where(F.col("n_words") >= window)
-    copies = able.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    alone = able.join(copies, "digest").where("doc_id = first")
+    copies = durable(able.groupBy("digest").agg(F.min("doc_id").alias("first")), "copies")
+    alone = able.join(copies.withColumnRenamed("first", "doc_id"), ["doc_id", "digest"])
     result = scanned.select("doc_id", "n_words", "digest").join(copies, "digest", "left")
     if len(steps) > 1:
         rows = alone.select("doc_id", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select("doc_id", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
         candidates = slim
         for before, length in zip(steps[:-1], steps[1:], strict=True):
             shared = rows.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash")
-            live = rows.join(shared, "hash").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+            live = rows.join(durable(shared, "shared"), "hash").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
             older, candidates = candidates, durable(candidates.drop("places").join(live, "doc_id"), "candidates")
             drop(older)
             if length == window or candidates.isEmpty():
@@ -235,6 +235,7 @@ def repeated_windows(
         before, candidates = window, durable(slim.join(alone.select("doc_id").distinct(), "doc_id").withColumn("places", F.array().cast("array<int>")), "candidates")
     windows = durable(_last_windows(candidates, kind, before, window), "windows")
     least = windows.groupBy("hash", "guard").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("hash", "guard", "lo")
+    least = durable(least, "least")
     flagged = windows.join(least, ["hash", "guard"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_list(F.struct("hash", "guard")).alias("flagged"))
     changed = _cut(candidates.join(flagged, "doc_id"), kind, window).dropDuplicates(["doc_id", "digest"])
     changed = changed if with_text else changed.drop("kept_text")
