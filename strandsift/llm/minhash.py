@@ -9,7 +9,9 @@ bucket, members are compared with a centre (the member with most support over al
 stay in other components are compared with further centres, and only what is left after that is paired among
 different components.  So no link is lost, and a large group of near copies costs a few comparisons a member.
 Documents that merely share a passage also meet in buckets: bucket rows carry the set size, one bit of each register
-and a few bits of each of 128 parts of the set, and a pair leaves the join only if these allow the threshold.
+and a few bits of each of 128 parts of the set, and a pair leaves the join only if these allow the threshold.  What is
+summed by bucket is written down before it is joined, so that each join has a bare exchange on either side, which Spark
+splits where a bucket is hot.  Texts are read where they lie, and never shuffled.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ BUCKETS = 128
 ROWS = 5
 BANDS = BUCKETS // ROWS
 MANTISSA = 10
-#: Up to so many ids are broadcast to the reading of texts; beyond it texts and ids are shuffled.
-BROADCAST_IDS = 20_000
+#: Chance that the bit sketch drops a pair at the threshold: far below that of meeting in no band.
+MISS = 1e-9
+#: The ids whose sets are needed are told by a bitmap with 16 bits for each id, at most 2 ** MAX_BITS in all (32 MB): where
+#: there are more ids than that serves, more sets are written than needed, and no other.
+MAX_BITS = 28
 EMPTY = 0xFFFF
 
 
@@ -103,9 +108,13 @@ def bit_sketch(regs: np.ndarray) -> np.ndarray:
 
 
 def most_bits(percent: int) -> int:
-    """Sketch bits that may differ: the mean at the threshold and five and a half standard deviations."""
+    """Sketch bits that may differ: the least number that a pair at the threshold exceeds with a chance below MISS."""
     p = (1 - percent / 100) / 2
-    return int(BUCKETS * p + 5.5 * (BUCKETS * p * (1 - p)) ** 0.5)
+    chance, most = 1.0, -1
+    while chance >= MISS:
+        most += 1
+        chance -= math.comb(BUCKETS, most) * p**most * (1 - p) ** (BUCKETS - most)
+    return most
 
 
 def part_sketch(sets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -181,18 +190,42 @@ def _with_main(rows: DataFrame) -> DataFrame:
     each = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     main = each.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("members"))
     main = main.select("bucket", F.col("top.component").alias("main"), (F.col("members") - F.col("top.c")).alias("others"), "members").where("others > 0")
-    return rows.join(main, "bucket")
+    return rows.join(durable(main, "mixed"), "bucket")
 
 
-def _full_sets(docs: DataFrame) -> DataFrame:
-    """(id, shingles): all shingle hashes of each document, sorted, as bytes."""
+def _bitmap(ids: DataFrame) -> tuple[int, np.ndarray]:
+    """A bit for each value of the first bits of an id's hash that occurs, packed: how far to shift a hash, and the bits.
+    The driver gets 32 MB at most."""
+    bits = min(MAX_BITS, max(16, math.ceil(math.log2(16 * max(1, ids.count())))))
+    place = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
+    rows = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros((((1 << bits) - 1) // 32768 + 2, 4096), np.uint8)
+    for r in rows.toLocalIterator():
+        out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+    return 64 - bits, out
+
+
+def _marked(place: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Which places have their bit set; bucket numbers count from 1, but for place 0."""
+    bucket = np.where(place > 0, 1 + (place - 1) // 32768, 0)
+    bit = np.where(place > 0, (place - 1) % 32768, 0)
+    return (bitmap[bucket, bit // 8] >> (bit % 8)) & 1 > 0
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of all documents in ``ids`` (and few others): all shingle hashes, sorted, as bytes.  Texts are chosen
+    where they are read, by a bitmap of the ids, and never shuffled."""
+    shift, bitmap = _bitmap(ids)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
+            b = b.filter(pa.array(_marked(b.column("place").to_numpy(), sent.value)))
             all_, sizes = shingle_sets(scan(b.column("text"), FOLDED))
-            yield pa.RecordBatch.from_arrays([b.column("id"), binaries(np.split(all_, np.cumsum(sizes)[:-1]))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), binaries(np.split(all_, np.cumsum(sizes)[:-1]) if b.num_rows else [])], ["id", "shingles"])
 
-    return docs.mapInArrow(sets, "id long, shingles binary")
+    known = docs.where("id is not null").select("id", F.shiftrightunsigned(F.xxhash64("id"), shift).alias("place"), "text")
+    return known.mapInArrow(sets, "id long, shingles binary")
 
 
 def _likely(pairs: DataFrame, least: float) -> DataFrame:
@@ -250,7 +283,7 @@ def near_duplicates(
         "nodes",
     )
     rows = _buckets(reps)
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    shared = durable(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "shared")
     hits = durable(rows.join(shared, "bucket"), "buckets")
     support = durable(hits.groupBy("id").agg(F.sum("members").alias("support")).join(reps.select("id", "n", *SKETCH), "id"), "support")
     left = hits.select("id", "bucket").join(support, "id")
@@ -265,9 +298,9 @@ def near_duplicates(
     fields = ("n", *SKETCH, "component")
     for turn in range(rounds + 1):
         if labels is None:
-            now = left.withColumn("component", F.col("id"))
+            now = durable(left.withColumn("component", F.col("id")), "left")
         else:
-            now = left.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            now = durable(left.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
             now = durable(_with_main(now), "left")
             size, pairs = now.agg(F.count("*"), F.sum("others")).first()
             if not size:
@@ -282,14 +315,13 @@ def near_duplicates(
         else:
             top = F.max(F.struct("support", (-F.col("id")).alias("minus"), *fields)).alias("top")
             centre = now.groupBy("bucket").agg(top).select("bucket", (-F.col("top.minus")).alias("id2"), *(F.col(f"top.{c}").alias(f"{c}2") for c in fields))
-            star = now.join(centre, "bucket").where("id <> id2")
+            star = now.join(durable(centre, "centres"), "bucket").where("id <> id2")
             edges = star.where("component <> component2").where(near)
             left = star.select("id", "bucket", "support", "n", *SKETCH)
         edges = edges.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         likely = durable(_likely(edges.join(side("a"), "a").join(side("b"), "b"), least), "likely")
         ids = durable(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        few = ids.count() <= BROADCAST_IDS
-        sets = durable(_full_sets(texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")), "sets")
+        sets = durable(_full_sets(texts, ids), "sets")
         full = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         new = durable(_confirmed(full, percent).distinct(), "links")
         drop(sets)

@@ -118,6 +118,31 @@ def test_near_duplicates_odd_tables(spark):
     assert sorted((r["doc_id"] or -1) for r in left.collect()) == [-1, -1, 7, 9] and left.columns == ["doc_id", "text", "extra"]
 
 
+def test_bitmap_of_ids(spark, monkeypatch):
+    """All ids asked for are found, few others where there is room, and only more others where there isn't."""
+    ids = spark.range(0, 6000, 3)
+    docs = spark.range(-50, 6050).selectExpr("id", "cast(id as string) as text")
+    for bits, least, most in ((28, 2000, 2600), (10, 2000, 6100)):
+        monkeypatch.setattr(M, "MAX_BITS", bits)
+        got = {r["id"] for r in M._full_sets(docs, ids).select("id").collect()}
+        assert set(range(0, 6000, 3)) <= got and least <= len(got) <= most
+    place = np.array([0, 1, 32768, 32769])
+    bitmap = np.zeros((3, 4096), np.uint8)
+    bitmap[0, 0], bitmap[1, 4095], bitmap[2, 0] = 1, 128, 1
+    assert M._marked(place, bitmap).tolist() == [True, False, True, True]
+    assert M._full_sets(docs.limit(0), ids).count() == 0
+
+
+def test_sketch_bound():
+    """The least bound with a chance of a miss below MISS."""
+    from math import comb
+
+    for percent in (80, 85):
+        k, p = M.most_bits(percent), (1 - percent / 100) / 2
+        tail = lambda m: sum(comb(128, i) * p**i * (1 - p) ** (128 - i) for i in range(m + 1, 129))
+        assert tail(k) < M.MISS * 1.01 and tail(k - 1) >= M.MISS
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40, 0, -1)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r["id"]: r["component"] for r in components(edges).collect()}
