@@ -274,12 +274,11 @@ def near_duplicates(
         raise ValueError(f"{id_col} must be a whole number: components are named by their smallest id")
     sig = durable(signatures(docs, id_col, text_col), "signatures")
     known = sig.where("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
+    classes = durable(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
     reps = durable(
-        known.join(classes, ["set_a", "set_b"])
-        .where("doc_id = rep")
+        known.join(classes.withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "doc_id"])
         .dropDuplicates(["set_a", "set_b"])
-        .select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "registers", *SKETCH),
+        .select(F.col("doc_id").cast("long").alias("id"), F.col("n_shingles").alias("n"), "registers", *SKETCH),
         "nodes",
     )
     rows = _buckets(reps)
