@@ -221,3 +221,97 @@ def test_all_counts_are_kept_at_every_size(spark, monkeypatch):
         got = {x["doc_id"]: x["score"] for x in B.language_model_scores(docs, F.lit(True), max_bits=most).collect()}
         far = sorted(abs(got[i] - want[i]) for i in want)
         assert far[100] < 0.5 and far[-1] < 3  # false probes raise a level now and then; without pairs 15 would be usual
+
+
+def test_scores_of_trees_by_walking_each_row():
+    """The flattened arrays against a walk from node to node."""
+    r = np.random.default_rng(5)
+    x = r.random((400, 4))
+    x[:50, 1] = np.round(x[:50, 1], 1)
+    y = ((x[:, 0] + x[:, 1] > 1) ^ (x[:, 2] > 0.8)).astype(float)
+    trees = Q.fit_trees(x, y, [0, -1, 0, 1], trees=15)
+    edge = np.concatenate((x, np.full((1, 4), trees.threshold[0]), np.zeros((1, 4)), np.ones((1, 4)) * 9))
+    for row, got in zip(edge, trees.score(edge), strict=True):
+        total = trees.start
+        for node in trees.roots:
+            while trees.left[node] != node:
+                node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+            total += trees.value[node]
+        assert math.isclose(got, 1 / (1 + math.exp(-total)), rel_tol=1e-12)
+
+
+def test_document_scores_by_enumeration():
+    """Marginals from all labellings, weighted by line length and calibrated, give the score of a document."""
+    r = np.random.default_rng(2)
+    first = np.array([0, 4, 4, 5, 11])
+    x, chars = r.normal(size=(11, C.N_LINE)), r.integers(1, 60, 11).astype(float)
+    model = C.Model(x.mean(axis=0), x.std(axis=0), r.normal(size=3 * C.N_LINE + 3), r.normal(size=(2, 2)), 1.7, -0.3, 0.25)
+    got = model.score(x, chars, first)
+    z = (x - model.mean) / model.scale
+    for d, (lo, hi) in enumerate(zip(first[:-1], first[1:])):
+        if lo == hi:
+            assert got[d] == 0.25
+            continue
+        none = np.zeros(C.N_LINE)
+        unary = [
+            float(np.concatenate((z[t], z[t - 1] if t > lo else none, z[t + 1] if t < hi - 1 else none, [t == lo, t == hi - 1, 1])) @ model.weights) for t in range(lo, hi)
+        ]
+        marginal, total = np.zeros(hi - lo), 0.0
+        for y in itertools.product((0, 1), repeat=hi - lo):
+            w = math.exp(sum(u for u, k in zip(unary, y) if k) + sum(model.trans[a, b] for a, b in zip(y, y[1:])))
+            total, marginal = total + w, marginal + w * np.array(y)
+        q = float((marginal / total * chars[lo:hi]).sum() / chars[lo:hi].sum())
+        q = min(max(q, 1e-4), 1 - 1e-4)
+        assert math.isclose(got[d], 1 / (1 + math.exp(-(1.7 * math.log(q / (1 - q)) - 0.3))), rel_tol=1e-9)
+
+
+def test_ftrl_in_plain_python():
+    """Per-coordinate updates, one example after another, with dictionaries."""
+    r = random.Random(7)
+    rows = [(np.array(sorted(r.sample(range(40), 6))), np.array([r.random() for _ in range(6)])) for _ in range(30)]
+    label = np.array([r.randrange(3) for _ in rows])
+    alpha, beta, l1, l2 = 0.3, 1.0, 0.05, 0.1
+    z, n = Counter(), Counter()
+
+    def weight(i, k):
+        if abs(z[i, k]) <= l1:
+            return 0.0
+        return -(z[i, k] - math.copysign(l1, z[i, k])) / ((beta + math.sqrt(n[i, k])) / alpha + l2)
+
+    for _ in range(2):
+        for (feature, value), y in zip(rows, label):
+            x = {**dict(zip(feature.tolist(), value.tolist())), L.SIZE: 1.0}
+            w = {(i, k): weight(i, k) for i in x for k in range(3)}
+            score = [math.exp(sum(x[i] * w[i, k] for i in x)) for k in range(3)]
+            for i in x:
+                for k in range(3):
+                    g = x[i] * (score[k] / sum(score) - (k == y))
+                    sigma = (math.sqrt(n[i, k] + g * g) - math.sqrt(n[i, k])) / alpha
+                    z[i, k] += g - sigma * w[i, k]
+                    n[i, k] += g * g
+    weights, bias = L.train_ftrl(rows, label, 3, 2, alpha, beta, l1, l2)
+    assert np.allclose(weights[:40], [[weight(i, k) for k in range(3)] for i in range(40)]) and np.allclose(bias, [weight(L.SIZE, k) for k in range(3)])
+    assert (weights == 0).any() and not weights[40:].any()
+
+
+def test_tf_idf_and_temperature_in_plain_python():
+    idf = np.zeros(L.SIZE)
+    idf[[3, 5, 9]] = [1.0, 2.0, 0.5]
+    got = L.tf_idf(np.array([0, 0, 1]), np.array([3, 5, 9]), np.array([4, 1, 2]), 2, idf)
+    a, b = (1 + math.log(4)) * 1.0, 2.0
+    assert np.allclose(got, [a / math.hypot(a, b), b / math.hypot(a, b), 1.0])
+    r = np.random.default_rng(1)
+    logits, label = r.normal(size=(200, 4)) * 5, r.integers(0, 4, 200)
+    label[:150] = logits[:150].argmax(axis=1)
+    loss = lambda t: -sum(math.log(math.exp(z[y] / t) / sum(math.exp(v / t) for v in z)) for z, y in zip(logits.tolist(), label.tolist()))
+    best = min((x / 50 for x in range(25, 1000)), key=loss)
+    assert abs(L.fit_temperature(logits, label) - best) < 0.05
+
+
+def test_document_frequencies_cover_all_texts(spark):
+    texts = [("abc",), ("abd ab",), ("",), (None,), ("12",)]
+    n, seen = L._document_frequencies(spark.createDataFrame(texts, "text string"))
+    want = Counter()
+    for (t,) in texts[:2]:
+        want.update(set(L.features(*reversed(_buf([t])))[1].tolist()))
+    assert n == 2 and {int(i): int(c) for i, c in enumerate(seen) if c} == dict(want)
