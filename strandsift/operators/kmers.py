@@ -20,10 +20,10 @@ def kmers(reads: DataFrame, k: int, *keep: str) -> DataFrame:
     return positions(reads, "seq", k, *keep, unit="kmer")
 
 
-def forward_counts(reads: DataFrame, k: int) -> DataFrame:
-    """(kmer, m): occurrences on the forward strand of k-mers of A, C, G and T only."""
-    found = kmers(reads, k).where(~F.col("kmer").rlike("[^ACGT]"))
-    return found.groupBy("kmer").agg(F.count("*").alias("m"))
+def forward_counts(reads: DataFrame, k: int, *by: str) -> DataFrame:
+    """(by, kmer, m): occurrences on the forward strand of k-mers of A, C, G and T only."""
+    found = kmers(reads, k, *by).where(~F.col("kmer").rlike("[^ACGT]"))
+    return found.groupBy(*by, "kmer").agg(F.count("*").alias("m"))
 
 
 def abundances(forward: DataFrame) -> DataFrame:
@@ -62,11 +62,11 @@ def distinct_kmers(reads: DataFrame, ks: list[int]) -> DataFrame:
     return out
 
 
-def build_index(reads: DataFrame, ks: list[int]) -> DataFrame:
-    """(k, kmer, m): forward counts for all k, from which everything else follows."""
+def build_index(reads: DataFrame, ks: list[int], *by: str) -> DataFrame:
+    """(k, by, kmer, m): forward counts for all k, from which everything else follows; one index for each value of ``by``."""
     out = None
     for k in ks:
-        one = forward_counts(reads, k).select(F.lit(k).alias("k"), "kmer", "m")
+        one = forward_counts(reads, k, *by).select(F.lit(k).alias("k"), *by, "kmer", "m")
         out = one if out is None else out.unionAll(one)
     return out
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import gzip
-import io
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import durable
+
 READS = "path string, read_id long, header string, seq string"
 
 
@@ -46,26 +46,69 @@ def _paths(spark: SparkSession, list_path: str) -> list[str]:
 
 
 def read_sequences(spark: SparkSession, *paths: str) -> DataFrame:
-    """(path, read_id, header, seq) of FASTA/FASTQ files; read_id counts from 0 in each file.
+    """(path, read_id, header, seq) of FASTA/FASTQ files of any size; read_id tells the reads of a file apart.
 
-    Files are read in parallel, each by one task as a stream; other files than .gz are plain.  Qualities are dropped.
+    Plain FASTA, and plain FASTQ of four lines a record, are cut into records by many tasks; gzip files, which can't be
+    cut, are read as streams, one task each, as is plain FASTQ with sequences over several lines.  Qualities are dropped.
     """
-    files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                raw = io.BytesIO(content)
-                text = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw, "utf-8", "replace", newline="\n")
-                rows = []
-                for i, (header, seq) in enumerate(parse_records(text)):
-                    rows.append((path, i, header, seq))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["path", "read_id", "header", "seq"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["path", "read_id", "header", "seq"])
-
-    return files.mapInPandas(run, READS)
+    kinds: dict[str, list[str]] = {"fasta": [], "fastq": [], "stream": []}
+    for path in paths:
+        kinds[_kind(spark, path)].append(path)
+    out = None
+    if kinds["fasta"]:
+        records = read_fasta_lines(spark, *kinds["fasta"])
+        out = records.select("path", F.monotonically_increasing_id().alias("read_id"), "header", "seq")
+    for more, read in (("fastq", read_fastq_lines), ("stream", _read_streams)):
+        if kinds[more]:
+            one = read(spark, *kinds[more])
+            out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], READS)
+
+
+def _kind(spark: SparkSession, path: str) -> str:
+    """How a file can be read: by its name and first lines."""
+    if path.endswith(".gz"):
+        return "stream"
+    head = [r["value"] for r in spark.read.text(path).limit(8).collect()]
+    if head and head[0][:1] == ">":
+        return "fasta"
+    lines = [x for i, x in enumerate(head) if i % 4 == 2]
+    return "fastq" if head and head[0][:1] == "@" and lines and all(x[:1] == "+" for x in lines) and all(x[:1] == "@" for x in head[::4]) else "stream"
+
+
+def _read_streams(spark: SparkSession, *paths: str) -> DataFrame:
+    """Each file as one stream of lines in one task, whatever its size: a file that can't be cut, or is read whole."""
+    out = None
+    for path in paths:
+        lines = spark.read.text(path)
+        if not path.endswith(".gz"):
+            lines = spark.read.format("binaryFile").load(path).select(F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("value"))
+
+        def run(batches: Iterator[pd.DataFrame], path=path) -> Iterator[pd.DataFrame]:
+            rows = []
+            for i, (header, seq) in enumerate(parse_records(x for b in batches for x in b["value"])):
+                rows.append((path, i, header, seq))
+                if len(rows) == 10_000:
+                    yield pd.DataFrame(rows, columns=["path", "read_id", "header", "seq"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["path", "read_id", "header", "seq"])
+
+        one = lines.mapInPandas(run, READS)
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def read_fastq_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, read_id, header, seq) of plain FASTQ with four lines a record, by many tasks: lines are numbered inside the
+    blocks that a file is cut into, then by the sums of earlier blocks, and four lines in a row are a record."""
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", "\r$", "").alias("value"))
+    lines = durable(lines, "lines")
+    sums = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    base = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a block
+    numbered = lines.join(F.broadcast(base), ["path", "block"]).withColumn("number", F.col("base") + F.col("i") - F.col("first"))
+    of = F.expr("number % 4")
+    found = numbered.where(of < 2).groupBy("path", F.expr("number div 4").alias("read_id")).agg(F.max(F.when(of == 0, F.col("value"))).alias("h"), F.max(F.when(of == 1, F.col("value"))).alias("seq"))
+    return found.where("h like '@%'").select("path", "read_id", F.regexp_extract("h", r"^@(\S*)", 1).alias("header"), F.coalesce("seq", F.lit("")).alias("seq"))
 
 
 def read_fasta_lines(spark: SparkSession, *paths: str) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.running import running
+
 METRICS = (
     "k int, a int, nr_nodes double, nr_edges long, avg_internal_nodes double, avg_length_unitigs double, est_sample_size long, nr_unitigs double, e_size double"
 )
@@ -53,6 +59,25 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=METRICS, nullValue=".")
 
 
+def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
+    """A suffix table as :func:`~strandsift.sources.sinks.write_suffixes` writes it."""
+    return spark.read.parquet(path)
+
+
+def read_weights(spark: SparkSession, path: str) -> DataFrame:
+    """(pos, weight) from a file of unsigned 32-bit little-endian numbers, one for each position (a file of 2 GB at most)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column("content"):
+                w = np.frombuffer(content.as_buffer(), "<u4").astype(np.int64)
+                for lo in range(0, len(w), 1 << 20):
+                    part = w[lo : lo + (1 << 20)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), pa.array(part)], ["pos", "weight"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "pos long, weight long")
+
+
 def tagged_documents(df: DataFrame, text: str, tag: str, *keep: str) -> DataFrame:
     """What stands between ``<tag>`` and ``</tag>``: (keep, part, value)."""
     found = F.regexp_extract_all(F.col(text), F.lit(f"(?s)<{tag}>(.*?)</{tag}>"), F.lit(1))
@@ -62,10 +87,10 @@ def tagged_documents(df: DataFrame, text: str, tag: str, *keep: str) -> DataFram
 def bins_by_size(df: DataFrame, order: str, size: str, capacity: int, *partition: str) -> DataFrame:
     """Numbers for rows in ``order`` so that a bin begins whenever the running size passes a multiple of ``capacity``.
 
-    ``partition`` names the groups that are binned on their own; rows of one group are ordered in one task.
+    ``partition`` names the groups that are binned on their own; ``order`` tells the rows of a group apart.
     """
-    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("bin", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / capacity).cast("long"))
+    before = running(df, F.coalesce(F.col(size), F.lit(0)), list(partition), [F.col(order)], "bin")
+    return before.withColumn("bin", F.floor(F.col("bin") / capacity).cast("long"))
 
 
 def alignment_column(lines: DataFrame, row: str, value: str, number: int) -> DataFrame:

@@ -77,6 +77,94 @@ def test_kmers_of_long_and_short_reads(spark):
     assert K.total_kmers(r, 5).first()[0] == len(seq) - 4
 
 
+def brute_paths(weight, edges, choose, loop_nodes):
+    """Paths by walking, as the definition has it."""
+    out, into = ({n: [] for n in weight} for _ in range(2))
+    for a, b in edges:
+        out[a].append(b)
+        into[b].append(a)
+    unary = lambda n: len(out[n]) == 1 and len(into[n]) == 1
+    share = lambda n: weight[n] / max(1, len(out[n]) + len(into[n]))
+
+    def walk(n, ways, start):
+        nodes, total = 1, 0.0
+        while unary(n) and n != start:
+            total, n, nodes = total + weight[n], ways[n][0], nodes + 1
+        return (None, None) if n == start and unary(n) else (nodes, total + share(n))
+
+    got = {}
+    for n in weight:
+        if not out[n] and not into[n]:
+            got[n] = (1, weight[n])
+        elif unary(n):
+            right, left = walk(out[n][0], out, n), walk(into[n][0], into, n)
+            if right[0] is None:
+                circle, x = [n], out[n][0]
+                while x != n:
+                    circle, x = [*circle, x], out[x][0]
+                got[n] = (loop_nodes if len(circle) == 1 else len(circle), sum(weight[c] for c in circle))
+            else:
+                got[n] = (1 + right[0] + left[0], weight[n] + right[1] + left[1])
+        else:
+            got[n] = {(1 + m, share(n) + t) for ways in (out, into) for x in ways[n] for m, t in [walk(x, ways, None)]}
+    return got
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_path_statistics(spark, seed):
+    import random
+
+    from strandsift.operators.paths import path_statistics
+
+    r = random.Random(seed)
+    weight = {i: r.randint(1, 9) for i in range(60)}
+    chain = list(range(20))
+    edges = set(zip(chain, chain[1:])) | {(30, 31), (31, 32), (32, 30), (40, 40)} | {(5, 45), (45, 46), (50, 0)}
+    edges |= {(r.randrange(50, 58), r.randrange(50, 58)) for _ in range(6)}
+    want = brute_paths(weight, edges, None, 2)
+    rows = path_statistics(spark.createDataFrame(list(weight.items()), "id long, weight int"), spark.createDataFrame(sorted(edges), "src long, dst long"), seed, 2).collect()
+    assert len(rows) == len(weight)
+    for x in rows:
+        w = want[x["id"]]
+        close = [m == x["nodes"] and abs(t - x["total"]) < 1e-9 for m, t in (w if isinstance(w, set) else {w})]
+        assert any(close), (x, w)
+
+
+def test_running_sums_of_large_groups(spark):
+    import random
+
+    from strandsift.operators.running import running
+
+    r = random.Random(4)
+    rows = [(None if r.random() < 0.1 else r.choice("aab"), i, r.randint(0, 9), "x") for i in range(500)]
+    got = running(spark.createDataFrame(rows, "g string, i int, v int, other string"), F.col("v"), ["g"], [F.desc("i")], "before").collect()
+    assert {x["i"]: x["before"] for x in got} == {i: sum(v for h, j, v, _ in rows if h == g and j > i) for g, i, _, _ in rows}
+    assert running(spark.createDataFrame([], "g string, i int, v int"), F.col("v"), ["g"], [F.col("i")]).count() == 0
+
+
+def test_weighted_draws(spark):
+    from strandsift.operators.sampling import draw_weighted
+
+    items = spark.createDataFrame([(i, 1 if i < 90 else 91 if i < 100 else 0) for i in range(110)], "id long, w int")
+    got = [x["id"] for x in draw_weighted(items, "id", "w", 5000, 3).collect()]
+    assert len(got) == 5000 and all(i < 100 for i in got) and 0.88 < sum(i >= 90 for i in got) / 5000 < 0.94
+    assert draw_weighted(items, "id", "w", 5000, 3).count() == 5000 and draw_weighted(items.limit(0), "id", "w", 5).count() == 0
+
+
+def test_landscape_from_an_index(spark):
+    r = reads(spark, ["AGGTTCATG", "GGTACAT", "TTACG"])
+    key = lambda df: sorted(map(str, df.collect()))
+    assert key(E.index_landscape(K.build_index(r, [4, 5]), [4, 5], 1, 2)) == key(E.census_landscape(r, [4, 5], 1, 2))
+
+
+def test_more_is_drawn_where_estimates_ask_for_it(spark):
+    """A tight error needs more draws than the first batch; the draws of each retained read bound them."""
+    r = reads(spark, ["ACGTTGCAACGGTACCATGACCATTTGACAGT" * 2] * 3)
+    few = E.estimate_landscape(r, [9], 1, 1, error=0.5, share=1.0).first()["est_sample_size"]
+    many = E.estimate_landscape(r, [9], 1, 1, error=0.02, share=1.0).first()["est_sample_size"]
+    assert few < many <= 3 * E.DRAWS_PER_READ
+
+
 def test_draws_follow_lengths(spark):
     r = reads(spark, ["A" * 104, "C" * 14])
     rows = draw_kmers(r, 5, 4000, seed=3).groupBy("kmer").count().collect()

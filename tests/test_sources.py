@@ -2,8 +2,6 @@
 
 import gzip
 
-from pyspark.sql import functions as F
-
 from strandsift import cli
 from strandsift.operators import kmers as K
 from strandsift.sources import reads as R
@@ -33,6 +31,58 @@ def test_files_and_lists(spark, tmp_path):
     assert sorted((r["header"], r["seq"]) for r in R.read_fasta_lines(spark, f"{tmp_path}/c.fa").collect()) == [("s1", "ACGT"), ("s2", "TTTT")]
 
 
+def test_large_files_are_cut(spark, tmp_path):
+    """FASTQ with quality lines that look like headers, read in blocks of a few lines; gzip as a stream."""
+    records = [(f"r{i}", "ACGTN"[: 1 + i % 5] * (1 + i % 7)) for i in range(400)]
+    text = "".join(f"@{h} x\n{s}\n+\n{('@' if i % 3 else '+') + 'I' * (len(s) - 1)}\n" for i, (h, s) in enumerate(records))
+    (tmp_path / "a.fastq").write_text(text)
+    with gzip.open(tmp_path / "b.fastq.gz", "wt") as f:
+        f.write(text)
+    (tmp_path / "c.fasta").write_text("".join(f">{h} x\n{s[:3]}\n{s[3:]}\n" for h, s in records))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        for name in ("a.fastq", "b.fastq.gz", "c.fasta"):
+            got = R.read_sequences(spark, f"{tmp_path}/{name}").collect()
+            assert sorted((r["header"], r["seq"]) for r in got) == sorted(records), name
+            assert len({r["read_id"] for r in got}) == 400
+        lines = R.read_fastq_lines(spark, f"{tmp_path}/a.fastq").collect()
+        assert [h for h, _ in records] == [r["header"] for r in sorted(lines, key=lambda r: r["read_id"])]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_weights_and_suffix_tables(spark, tmp_path):
+    import struct
+
+    (tmp_path / "w").write_bytes(struct.pack("<4I", 5, 0, 70000, 4294967295))
+    assert sorted(map(tuple, I.read_weights(spark, f"{tmp_path}/w").collect())) == [(0, 5), (1, 0), (2, 70000), (3, 4294967295)]
+    rows = spark.createDataFrame([(1, 0, 0, "$"), (0, 0, 1, "a")], "rank long, doc_id long, pos int, bwt string")
+    sinks.write_suffixes(rows, f"{tmp_path}/s")
+    assert sorted(map(tuple, I.read_suffixes(spark, f"{tmp_path}/s").collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_windows_of_a_stream(spark, tmp_path):
+    """A stream gives each window once, when the watermark has passed it; rows that are too late count no more."""
+    import datetime
+
+    from strandsift.streaming.index import windowed_counts
+
+    at = lambda h, m=0: datetime.datetime(2024, 1, 1, h, m)
+    schema = "ts timestamp, kind string"
+    source = str(tmp_path / "in")
+
+    def run():
+        stream = windowed_counts(spark.readStream.schema(schema).parquet(source), "ts", "kind").select("window.start", "kind", "n")
+        stream.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/check").option("path", f"{tmp_path}/out").format("parquet").trigger(availableNow=True).start().awaitTermination()
+
+    for rows in ([(at(1), "a"), (at(1, 30), "a"), (at(2), "b")], [(at(9), "a")], [(at(1, 5), "a"), (at(15), "b")]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        run()
+    got = sorted((r["start"], r["kind"], r["n"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(at(1), "a", 2), (at(2), "b", 1), (at(9), "a", 1)]
+
+
 def test_patterns_and_parameters(spark, tmp_path):
     p = spark.createDataFrame([(0, "abc"), (1, "xyz")], "pattern_id long, pattern string")
     text = sinks.counted_patterns(p, "f").first()["value"]
@@ -82,6 +132,24 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["unitigs", "-r", f"{tmp_path}/r.fa", "-o", f"{tmp_path}/u", "-k", "5", "-a", "1"])
     lines = [r["value"] for r in spark.read.text(f"{tmp_path}/u").collect()]
     assert sorted(x for x in lines if x[0] != ">") == ["AGTCAT", "GATGAC", "GTCATA"]
+    cli.main(["index", "-r", f"{tmp_path}/r.fa", "-o", f"{tmp_path}/i", "-k", "4", "-K", "5"])
+    cli.main(["landscape", "-l", f"{tmp_path}/i", "-o", f"{tmp_path}/n", "-k", "5", "-A", "1"])
+    cli.main(["landscape", "-r", f"{tmp_path}/r.fa", "-o", f"{tmp_path}/o", "-k", "5", "-K", "5", "-A", "1", "--census"])
+    key = lambda path: sorted(map(str, I.read_metrics(spark, path).collect()))
+    assert key(f"{tmp_path}/n") == key(f"{tmp_path}/o") != []
+    many = "\n".join(f"line {i} two" for i in range(1500))
+    (tmp_path / "many.txt").write_text(many)
+    capsys.readouterr()
+    cli.main(["grep", "two", f"{tmp_path}/many.txt"])
+    assert capsys.readouterr().out.strip() == many
+    cli.main(["grep", "two", f"{tmp_path}/many.txt", "-C", "1", "-o", f"{tmp_path}/snippets"])
+    assert spark.read.text(f"{tmp_path}/snippets").count() == 1500
+    (tmp_path / "p.txt").write_text("two\nline 7\nnone\n")
+    cli.main(["patterns", f"{tmp_path}/p.txt", f"{tmp_path}/many.txt", "-s"])
+    assert capsys.readouterr().out.split("\n")[:3] == ["two\t1\t1500\t1500", "line 7\t1\t111\t111", "none\t1\t0\t0"]
+    cli.main(["patterns", f"{tmp_path}/p.txt", f"{tmp_path}/many.txt", "-o", f"{tmp_path}/res"])
+    assert sorted(r["value"] for r in spark.read.text(f"{tmp_path}/res/selected").collect()) == ["line 7", "two"]
+    assert spark.read.parquet(f"{tmp_path}/res/found").count() == 1611
     (tmp_path / "t.txt").write_text("one two\nthree\ntwo\n")
     capsys.readouterr()
     cli.main(["grep", "two", f"{tmp_path}/t.txt", "-c"])
