@@ -29,7 +29,7 @@ def _in_ranges(items: DataFrame, order: list[Column], numbers: DataFrame) -> Dat
     ranges = durable(running(items.where("w > 0"), F.col("w"), [], order, "lo"), "weights")
     total, count = ranges.agg(F.sum("w"), F.count("*")).first()
     if not total:
-        return ranges.withColumn("u", F.lit(0).cast("long")).withColumn("at", F.lit(0).cast("long")).limit(0)
+        return numbers.where("false").crossJoin(ranges).withColumn("at", F.lit(0).cast("long"))
     width = max(1, -(-total // count))
     cells = ranges.withColumn("cell", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"(lo + w - 1) div {width}"))))
     placed = numbers.withColumn("u", F.expr(f"u % {total}")).withColumn("cell", F.expr(f"u div {width}"))
