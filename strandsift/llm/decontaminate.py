@@ -5,8 +5,9 @@ most e token edits holds at least one piece unchanged.  Documents look up all th
 the set of pieces, and every hit is verified with Myers' bit-parallel distance around the place it implies.  Tokens
 are runs of characters other than white space and ASCII punctuation, with A-Z lower-cased.
 
-Scale: documents are read once, never shuffled.  Items are sent to the workers in blocks of a bounded number of
-tokens, so a larger benchmark takes more blocks, not more memory.
+Scale: documents are never shuffled.  Items are sent to the workers in blocks of a bounded number of tokens, one at a
+time: where there are several blocks, what a block gives is written before the next one is sent, so a larger benchmark
+takes more passes, not more memory.
 """
 
 from __future__ import annotations
@@ -18,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .words import FACTORS, FOLDED, LOOSE, Words, grams, lists, mix, scan, signed, slices
+from .durable import durable
+from .words import FOLDED, LOOSE, Words, grams, lists, scan, signed, slices
 
 RATE = 0.2
 BLOCK_TOKENS = 1_000_000
@@ -146,15 +149,17 @@ def _tokens(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).mapInArrow(run, f"item_id {kind}, tokens array<long>")
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str, rate: float) -> Iterator[Block]:
-    """Items in blocks of about BLOCK_TOKENS tokens; items without a token match nothing and are left out."""
+def _blocks(items: DataFrame, id_col: str, text_col: str, rate: float) -> Iterator[tuple[Block, bool]]:
+    """Items in blocks of about BLOCK_TOKENS tokens, and whether more blocks follow; items of equal tokens are one entry
+    with all their ids, and items without a token match nothing and are left out."""
     cut = _tokens(items, id_col, text_col).where("size(tokens) > 0")
+    cut = durable(cut.groupBy("tokens").agg(F.collect_list(F.struct("item_id")).alias("ids")), "items")
     total = cut.agg(F.sum(F.size("tokens"))).first()[0] or 0
     count = -(-total // BLOCK_TOKENS)
     for k in range(count):
         mine = cut.where(F.pmod(F.xxhash64("tokens"), F.lit(count)) == k)
-        rows = sorted(((r["item_id"], r["tokens"]) for r in mine.toLocalIterator()), key=lambda r: (r[0] is None, r[0], r[1]))
-        yield block([r[0] for r in rows], [np.array(r[1], np.int64).view(np.uint64) for r in rows], rate)
+        rows = sorted(((sorted((x["item_id"] for x in r["ids"]), key=lambda i: (i is None, i)), r["tokens"]) for r in mine.toLocalIterator()), key=lambda r: r[1])
+        yield block([r[0] for r in rows], [np.array(r[1], np.int64).view(np.uint64) for r in rows], rate), k + 1 < count
 
 
 def contamination(
@@ -170,26 +175,34 @@ def contamination(
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"doc_id {kinds[0]}, item_id {kinds[1].simpleString()}, edits int, first_token int, end_token int"
-    out = docs.sparkSession.createDataFrame([], schema)
-    for b in _blocks(items, item_col, item_text, rate):
+    out, many = docs.sparkSession.createDataFrame([], schema), False
+    id_type = to_arrow_type(kinds[1])
+    for b, more in _blocks(items, item_col, item_text, rate):
         sent = docs.sparkSession.sparkContext.broadcast(b)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for part in slices(batches, "text"):
-                found = find(scan(part.column("text"), FOLDED, LOOSE), sent.value)
-                d, i, *rest = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else [np.zeros(0, np.int64)] * 5
-                names = pa.array([sent.value.ids[k] for k in i])
-                rest = [pa.array(x.astype(np.int32)) for x in rest]
+                found = [(d, name, *rest) for d, i, *rest in find(scan(part.column("text"), FOLDED, LOOSE), sent.value) for name in sent.value.ids[i]]
                 if found:
+                    d, names, *rest = zip(*found, strict=True)
+                    d, names, rest = np.array(d, np.int64), pa.array(names, id_type), [pa.array(x, pa.int32()) for x in rest]
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), names, *rest], ["doc_id", "item_id", "edits", "first_token", "end_token"])
 
-        out = out.unionAll(slim.mapInArrow(run, schema))
+        part = slim.mapInArrow(run, schema)
+        if more or many:  # one block at a time is with the workers
+            part, many = durable(part, "contaminated"), True
+            sent.unpersist()
+        out = out.unionAll(part)
     return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of ``docs``, with all columns, that hold no passage of an item (as in :func:`contamination`)."""
-    for b in _blocks(items, item_col, item_text, rate):
+    """The rows of ``docs``, with all columns, that hold no passage of an item (as in :func:`contamination`).
+
+    Defined cases: as there; rows that repeat are judged alike, and other columns may have any names.
+    """
+    many = False
+    for b, more in _blocks(items, item_col, item_text, rate):
         sent = docs.sparkSession.sparkContext.broadcast(b)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -199,4 +212,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text",
                 yield part.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if more or many:  # one block at a time is with the workers
+            docs, many = durable(docs, "clean"), True
+            sent.unpersist()
     return docs

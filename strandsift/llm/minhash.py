@@ -28,7 +28,7 @@ from pyspark.sql.types import IntegralType
 from .components import components
 from .durable import drop, durable
 from .names import fresh
-from .words import FACTORS, FOLDED, Words, binaries, grams, lists, mix, scan, signed, slices, whole
+from .words import FACTORS, FOLDED, Words, binaries, grams, mix, scan, signed, slices, whole
 
 SHINGLE = 5
 BUCKETS = 128

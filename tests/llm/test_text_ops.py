@@ -88,9 +88,18 @@ def test_items_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"w{i} x y z v{i}") for i in range(30)], "doc_id long, text string")
     bench = df.withColumnRenamed("doc_id", "item_id")
     want = sorted(map(tuple, D.contamination(df, bench).collect()))
+    left = sorted(map(tuple, D.drop_contaminated(df.union(spark.createDataFrame([(99, "clean")], df.schema)), bench).collect()))
     monkeypatch.setattr(D, "BLOCK_TOKENS", 20)
     assert len(list(D._blocks(bench, "item_id", "text", 0.2))) > 3
     assert sorted(map(tuple, D.contamination(df, bench).collect())) == want
+    assert sorted(map(tuple, D.drop_contaminated(df.union(spark.createDataFrame([(99, "clean")], df.schema)), bench).collect())) == left == [(99, "clean")]
+
+
+def test_equal_items_are_one_entry(spark):
+    df = spark.createDataFrame([(1, "p q r s t")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "p q, r s t"), (2, "P q r s t"), (None, "p q r s t"), (7, "u v")], "item_id long, text string")
+    assert len(next(D._blocks(bench, "item_id", "text", 0.2))[0].ids) == 2
+    assert sorted(str(r["item_id"]) for r in D.contamination(df, bench).collect()) == ["2", "5", "None"]
 
 
 def test_mixing(spark):
