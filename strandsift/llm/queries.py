@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .audit import filter_audit
 from .decontaminate import contamination
 from .html import extract_main_text
 from .langid import predict_languages
@@ -18,6 +19,8 @@ from .quality_trees import quality_rules
 from .sampling import crc_mod
 from .substring import repeated_windows
 from .tokens import token_counts
+from .warc import round_trip
+from .whitening import whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,6 +83,21 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents in each of their 120 orders, by source."""
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as a WARC archive and read back; equal payloads of any size are revisits."""
+    return round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings projected on the first four whitened components."""
+    return whiten(table(spark, sf_dir, "embeddings"), "embedding", "vec_id", 4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_source_mixing": op2_source_mixing,
@@ -91,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_language_model": op10_language_model,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_warc": op12_warc,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -156,5 +177,46 @@ WITH RECURSIVE rates AS (
 )
 SELECT d.*, CAST(r.copy AS INTEGER) AS copy, md5('17:order:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null:' || md5(coalesce(d.text, ''))) || ':' || r.copy) AS shuffle_key
 FROM documents d JOIN times ON times.doc_id IS NOT DISTINCT FROM d.doc_id, LATERAL (SELECT unnest(range(1, times.n + 1)) AS copy) r
+""",
+    "op11_filter_audit": r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), least_ AS (
+  SELECT t, min(doc_id) AS lo FROM w GROUP BY t
+), lab AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), fl AS MATERIALIZED (
+  SELECT w.part, coalesce(lab.good, false) AS good, coalesce(lab.toxic, false) AS toxic,
+    {'A': len(ws) < 50, 'B': 100 * len(list_distinct(ws)) < 65 * len(ws), 'C': 100 * length(regexp_replace(w.t, '[^A-Z]+', '', 'g')) > 5 * length(w.t),
+     'D': regexp_matches(w.t, '[#$%&*|]'), 'E': coalesce(least_.lo < w.doc_id, false)} AS f
+  FROM w JOIN least_ ON least_.t = w.t LEFT JOIN lab ON lab.doc_id = w.doc_id
+), one AS MATERIALIZED (
+  SELECT part, good, toxic, MAP {'A': f.A, 'B': f.B, 'C': f.C, 'D': f.D, 'E': f.E} AS f, f.A::INT + f.B::INT + f.C::INT + f.D::INT + f.E::INT AS fails, count(*) AS n FROM fl GROUP BY ALL
+), x(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS o FROM x a, x b, x c, x d, x e
+  WHERE a.l NOT IN (b.l, c.l, d.l, e.l) AND b.l NOT IN (c.l, d.l, e.l) AND c.l NOT IN (d.l, e.l) AND d.l <> e.l
+), first_ AS (
+  SELECT one.*, o, CASE WHEN f[o[1]] THEN 1 WHEN f[o[2]] THEN 2 WHEN f[o[3]] THEN 3 WHEN f[o[4]] THEN 4 WHEN f[o[5]] THEN 5 ELSE 6 END AS at_ FROM one, orders
+), s AS (
+  SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, o[step] AS l,
+    coalesce(sum(n) FILTER (WHERE at_ > step), 0) AS kept, coalesce(sum(n) FILTER (WHERE at_ = step), 0) AS removed, coalesce(sum(n) FILTER (WHERE f[o[step]] AND at_ < step), 0) AS redundant,
+    coalesce(sum(n) FILTER (WHERE f[o[step]] AND fails = 1), 0) AS unique_fails, coalesce(sum(n) FILTER (WHERE at_ = step AND good), 0) AS good_lost, coalesce(sum(n) FILTER (WHERE at_ = step AND toxic), 0) AS toxic_lost
+  FROM first_, range(1, 6) AS r(step) GROUP BY ALL
+)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, l))::BIGINT AS shapley
+FROM s
+""",
+    "op12_warc": r"""
+WITH p AS MATERIALIZED (
+  SELECT page_id, url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS hex FROM pages
+), b32 AS MATERIALIZED (
+  SELECT hex, array_to_string(list_transform(range(0, 4), lambda g: array_to_string(list_transform(range(0, 8), lambda j:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(hex, CAST(10 * g AS INTEGER) + 1, 10) AS BIGINT) >> CAST(35 - 5 * j AS INTEGER)) & 31 AS INTEGER) + 1, 1)), '')), '') AS digest FROM (SELECT DISTINCT hex FROM p)
+), f AS (
+  SELECT hex, min(page_id) AS lo FROM p GROUP BY hex
+)
+SELECT p.page_id, p.n AS payload_bytes, b32.digest AS payload_digest, CASE WHEN f.lo < p.page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f.lo < p.page_id THEN f.lo END AS refers_to, p.url
+FROM p JOIN b32 ON b32.hex = p.hex JOIN f ON f.hex = p.hex
 """,
 }
