@@ -206,13 +206,12 @@ def write_archive(pages: DataFrame, path: str, shard_bytes: int | None = None, r
         rows.select("shard", "page_id", "digest", "url", "html", nulls("refers_to"), F.lit(1).alias("kind"))
     )
     order = [F.col("shard"), F.asc_nulls_last("page_id"), F.col("digest"), F.col("kind"), F.col("url")]
-    dealt = both.repartition(n, "shard").sortWithinPartitions(*order)
+    dealt = both.repartitionById(n, F.col("shard")).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, first, ordinal = Files(path, roll_bytes), None, 0
         for b in batches:
-            for i in range(b.num_rows):
-                shard, page, digest, url, html, refers_to, kind = (c[i].as_py() for c in b.columns)
+            for shard, page, digest, url, html, refers_to, kind in (tuple(c[i].as_py() for c in b.columns) for i in range(b.num_rows)):
                 if kind == 0:
                     first, ordinal = refers_to, 0
                     continue
