@@ -24,8 +24,8 @@ from ..storage import durable
 SEGMENT = 1 << 20
 #: A minimizer with fewer k-mers is never counted apart.
 LEAST_HOT = 1 << 20
-_CODES = np.full(256, 4, np.uint8)
-_CODES[list(b"ACGT")] = np.arange(4)
+CODES = np.full(256, 4, np.uint8)
+CODES[list(b"ACGT")] = np.arange(4)
 SCHEMA = "bucket int, hi long, lo long, n int, times int"
 
 
@@ -34,8 +34,9 @@ def minimizer_size(k: int) -> int:
     return max(1, min(13, max(5, (k + 1) // 2), k))
 
 
-def _pieces(col: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Codes of the bases of consecutive reads, with the end of each base's read; a long read comes in overlapping parts."""
+def pieces(col: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool, bool]]:
+    """Codes of the bases of consecutive reads, with the end of each base's read, and whether a piece is the first and the
+    last of its reads: a long read comes in parts that overlap by k - 1 bases."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     col = col.cast(pa.large_string())
@@ -55,11 +56,11 @@ def _pieces(col: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         begin, stop = int(off[row]), int(off[to])
         for lo in range(begin, max(begin + 1, stop - k + 1), SEGMENT):
             hi = min(stop, lo + SEGMENT + k - 1)
-            yield _CODES[data[lo:hi]], np.minimum(ends[lo - begin : hi - begin], hi) - lo
+            yield CODES[data[lo:hi]], np.minimum(ends[lo - begin : hi - begin], hi) - lo, lo == begin, hi == stop
         row = to
 
 
-def _reverse(x: np.ndarray, k: int) -> np.ndarray:
+def reversed_codes(x: np.ndarray, k: int) -> np.ndarray:
     y = ~x
     for step, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
         y = ((y >> np.uint64(step)) & np.uint64(mask)) | ((y & np.uint64(mask)) << np.uint64(step))
@@ -107,7 +108,7 @@ def cut(codes: np.ndarray, ends: np.ndarray, k: int, m: int) -> tuple[np.ndarray
         return None
     p = windows32(codes)
     short = p[: len(codes) - m + 1] >> np.uint64(64 - 2 * m)
-    hash_ = (_mix(np.minimum(short, _reverse(short, m))) >> np.uint64(32)).astype(np.uint32)
+    hash_ = (_mix(np.minimum(short, reversed_codes(short, m))) >> np.uint64(32)).astype(np.uint32)
     bucket = _least(hash_, k - m + 1)[at]
     new = np.ones(len(at), bool)
     new[1:] = (np.diff(at) != 1) | (bucket[1:] != bucket[:-1])
@@ -135,7 +136,7 @@ def super_kmers(reads: DataFrame, k: int) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for codes, ends in _pieces(b.column(0), k):
+            for codes, ends, _, _ in pieces(b.column(0), k):
                 found = cut(codes, ends, k, m)
                 if found is not None:
                     yield pa.record_batch([pa.array(x) for x in found], ["bucket", "hi", "lo", "n", "times"])
@@ -172,3 +173,26 @@ def canonical_counts(reads: DataFrame, k: int) -> DataFrame:
     cold = runs.join(mark, "bucket", "left_anti").repartition("bucket")
     apart = runs.join(mark, "bucket", "left_semi")
     return _summed(_expanded(cold, k), k, "bucket").unionAll(_summed(_expanded(apart, k), k))
+
+
+def both_strands(counts: DataFrame, k: int) -> DataFrame:
+    """(x, n, m) from :func:`canonical_counts`: each k-mer and its reverse complement with the abundance on both strands, and
+    m, the occurrences of x itself on the forward strand, null where there are none."""
+    rows = P.with_reverse(counts, "code", k, "back").withColumn("n", F.expr("if(code = back, 2 * f, f + r)"))
+    each = rows.select("n", F.explode(F.expr("if(code = back, array(struct(code as x, f as m)), array(struct(code as x, f as m), struct(back as x, r as m)))")).alias("e"))
+    return each.select("e.x", "n", F.expr("nullif(e.m, 0)").alias("m"))
+
+
+def counted_strings(reads: DataFrame, k: int) -> DataFrame:
+    """(kmer, n, m): :func:`both_strands` with the k-mers as strings."""
+    return both_strands(canonical_counts(reads, k), k).select(P.spelled("x", k).alias("kmer"), "n", "m")
+
+
+def distinct_kmers(reads: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, kmers): distinct k-mers on both strands for each k."""
+    out = None
+    for k in ks:
+        rows = P.with_reverse(canonical_counts(reads, k), "code", k, "back")
+        one = rows.agg(F.coalesce(F.sum(F.expr("if(code = back, 1, 2)")), F.lit(0)).cast("long").alias("kmers")).select(F.lit(k).alias("k"), "kmers")
+        out = one if out is None else out.unionAll(one)
+    return out

@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from ..functions import statistics as S
+from ..functions.packed import spelled
+from ..operators import bidirected as D
 from ..operators import graph as G
 from ..operators import kmers as K
+from ..operators import superkmers as M
 from ..operators import suffixes as X
 from ..operators import text as T
 from ..operators import unitigs as U
 from ..operators.sampling import arithmetic_sample, draw_weighted, semi_greedy_positions
 from ..sources import sinks
 from ..sources import texts as I
-from ..storage import durable
+from ..storage import durable, spread
 from ..streaming.index import windowed_counts
 from . import estimate as E
 
@@ -103,13 +106,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, sf_dir: str, keep_others: bool = False) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     return docs.select(F.col("doc_id").alias("read_id"), "lang", B.as_dna(F.coalesce("text", F.lit("")), keep_others).alias("seq"))
 
 
 def collection(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     t = table(spark, sf_dir, name)
-    return t.select(F.col(t.columns[0]).alias("doc_id"), "text").where("text <> ''")
+    return spread(t.select(F.col(t.columns[0]).alias("doc_id"), "text")).where("text <> ''")
 
 
 def long_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,44 +166,44 @@ def read_kmer_summary(spark, d):
 
 @query(f"WITH {READS}, {_counts(8)} SELECT x AS kmer, m FROM fw")
 def kmer_count_forward(spark, d):
-    return K.forward_counts(reads(spark, d), 8)
+    return M.counted_strings(reads(spark, d), 8).where("m is not null").select("kmer", "m")
 
 
 @query(f"WITH {READS}, {_counts(8)} SELECT ab.x AS kmer, n, coalesce(m, 0) AS m FROM ab LEFT JOIN fw ON fw.x = ab.x")
 def kmer_abundance(spark, d):
-    return K.abundances(K.forward_counts(reads(spark, d), 8)).fillna(0, ["m"])
+    return M.counted_strings(reads(spark, d), 8).fillna(0, ["m"])
 
 
 @query(f"WITH {READS}, {_counts(8)} SELECT least(x, reverse(translate(x, 'ACGT', 'TGCA'))) AS kmer, CAST(sum(m) AS BIGINT) AS m FROM fw GROUP BY 1")
 def canonical_kmers(spark, d):
-    return K.forward_counts(reads(spark, d), 8).groupBy(B.canonical(F.col("kmer")).alias("kmer")).agg(F.sum("m").alias("m"))
+    return M.canonical_counts(reads(spark, d), 8).select(spelled("code", 8).alias("kmer"), F.expr("f + r").alias("m"))
 
 
 @query(f"WITH {READS.replace(chr(39) * 2 + ', ' + chr(39) + 'g', chr(39) + 'N' + chr(39) + ', ' + chr(39) + 'g')}, {_counts(8)} SELECT x AS kmer, n FROM ab")
 def kmer_abundance_n_filtered(spark, d):
-    return K.abundances(K.forward_counts(reads(spark, d, keep_others=True), 8)).select("kmer", "n")
+    return M.counted_strings(reads(spark, d, keep_others=True), 8).select("kmer", "n")
 
 
 @query(f"WITH {READS}, {_counts(15)} SELECT n AS abundance, count(*) AS kmers FROM ab GROUP BY n")
 def abundance_histogram(spark, d):
-    return K.abundance_histogram(K.abundances(K.forward_counts(reads(spark, d), 15)))
+    return K.abundance_histogram(M.both_strands(M.canonical_counts(reads(spark, d), 15), 15))
 
 
 @query(f"""WITH {READS}, {_counts(15)}, e AS (SELECT min(n) AS lo, max(n) AS hi, (max(n) - min(n)) / 20.0::DOUBLE AS w FROM ab),
 b AS (SELECT CAST(least(19, coalesce(floor((n - lo) / nullif(w, 0)), 0)) AS INTEGER) AS bin, lo, w, count(*) AS kmers FROM ab, e GROUP BY ALL)
 SELECT bin, lo + bin * w AS low, lo + (bin + 1) * w AS high, kmers FROM b""")
 def binned_abundance_histogram(spark, d):
-    return K.binned_histogram(K.abundances(K.forward_counts(reads(spark, d), 15)))
+    return K.binned_histogram(durable(M.both_strands(M.canonical_counts(reads(spark, d), 15), 15), "abundances"))
 
 
 @query(" UNION ALL ".join(f"(WITH {READS}, {_counts(k)} SELECT {k} AS k, count(*) AS kmers FROM ab)" for k in (15, 20, 25, 30)))
 def distinct_kmers_by_k(spark, d):
-    return K.distinct_kmers(reads(spark, d), [15, 20, 25, 30])
+    return M.distinct_kmers(reads(spark, d), [15, 20, 25, 30])
 
 
 @query(f"WITH {READS}, {_counts(8)} SELECT x AS kmer, n FROM ab WHERE x = reverse(translate(x, 'ACGT', 'TGCA'))")
 def palindromes(spark, d):
-    return K.abundances(K.forward_counts(reads(spark, d), 8)).where(B.is_palindrome(F.col("kmer"))).select("kmer", "n")
+    return M.counted_strings(reads(spark, d), 8).where(B.is_palindrome(F.col("kmer"))).select("kmer", "n")
 
 
 @query(f"WITH {READS}, {_counts(8)} SELECT 8 AS k, x AS kmer, m FROM fw")
@@ -212,36 +215,40 @@ def merged_index(spark, d):
 # graphs
 
 
+def _degrees(spark, d, k: int, lo: int, hi: int) -> DataFrame:
+    return D.degrees(D.bidirected(M.canonical_counts(reads(spark, d), k), k, lo), k, lo, hi)
+
+
 @query(f"WITH {READS}, {_nodes(15, 1, 5)} SELECT a, din, dout, count(*) AS nodes FROM nd GROUP BY a, din, dout")
 def degree_distribution(spark, d):
-    return E.graph(reads(spark, d), 15, 1, 5).groupBy("a", "din", "dout").agg(F.count("*").alias("nodes"))
+    return _degrees(spark, d, 15, 1, 5).groupBy("a", "din", "dout").agg(F.count("*").alias("nodes"))
 
 
 @query(f"WITH {READS}, {_nodes(15, 3, 3)} SELECT a, x AS kmer, n, coalesce(m, 0) AS m, din, dout FROM nd")
 def node_degrees(spark, d):
-    return G.degrees(G.grid(K.abundances(K.forward_counts(reads(spark, d), 15)), 3, 3), 15).fillna(0, ["m"])
+    return _degrees(spark, d, 15, 3, 3).select("a", spelled("x", 15).alias("kmer"), "n", "m", "din", "dout")
 
 
 @query(f"WITH {READS}, {_nodes(15, 1, 5)} SELECT a, {_CLASS} AS kind, count(*) AS nodes FROM nd GROUP BY 1, 2")
 def node_classes(spark, d):
-    return E.graph(reads(spark, d), 15, 1, 5).groupBy("a", G.node_class().alias("kind")).agg(F.count("*").alias("nodes"))
+    return _degrees(spark, d, 15, 1, 5).groupBy("a", G.node_class().alias("kind")).agg(F.count("*").alias("nodes"))
 
 
 @query(f"WITH {READS}, {_nodes(15, 2, 2)} SELECT a, x AS kmer, din, dout FROM nd WHERE NOT (din = 1 AND dout = 1)")
 def branching_nodes(spark, d):
-    return E.graph(reads(spark, d), 15, 2, 2).where("not (din = 1 and dout = 1)").select("a", "kmer", "din", "dout")
+    return _degrees(spark, d, 15, 2, 2).where("not (din = 1 and dout = 1)").select("a", spelled("x", 15).alias("kmer"), "din", "dout")
 
 
 @query(f"WITH {READS}, {_nodes(15, 3, 3)} SELECT u.a, u.x AS src, v.x AS dst FROM nd u JOIN nd v ON u.a = v.a AND substr(u.x, 2) = substr(v.x, 1, 14)")
 def edge_list(spark, d):
-    return G.edges(G.grid(K.abundances(K.forward_counts(reads(spark, d), 15)), 3, 3), 15)
+    return D.successors(E.packed_graph(reads(spark, d), 15, 3), 15, 3, 3).select("a", spelled("x", 15).alias("src"), spelled("y", 15).alias("dst"))
 
 
 @query(f"""WITH {READS}, {_nodes(15, 3, 3)}, e AS MATERIALIZED (SELECT u.a, u.x AS src, v.x AS dst FROM nd u JOIN nd v ON u.a = v.a AND substr(u.x, 2) = substr(v.x, 1, 14)),
 s AS (SELECT a, src AS x, string_agg(dst, ',' ORDER BY dst) AS t FROM e GROUP BY 1, 2), p AS (SELECT a, dst AS x, string_agg(src, ',' ORDER BY src) AS t FROM e GROUP BY 1, 2)
 SELECT nd.a, nd.x AS kmer, coalesce(s.t, '') AS successors, coalesce(p.t, '') AS predecessors FROM nd LEFT JOIN s ON s.a = nd.a AND s.x = nd.x LEFT JOIN p ON p.a = nd.a AND p.x = nd.x""")
 def node_neighbours(spark, d):
-    lists = G.neighbour_lists(G.grid(K.abundances(K.forward_counts(reads(spark, d), 15)), 3, 3), 15)
+    lists = D.neighbour_lists(E.packed_graph(reads(spark, d), 15, 3), 15, 3, 3)
     return lists.select("a", "kmer", F.array_join("successors", ",").alias("successors"), F.array_join("predecessors", ",").alias("predecessors"))
 
 
@@ -254,7 +261,7 @@ def _census_sql(k: int, lo: int, hi: int) -> str:
 
 
 def _census(spark, d, k: int, lo: int, hi: int) -> DataFrame:
-    rows = G.census_metrics(G.census(G.degrees(G.grid(K.abundances(K.forward_counts(reads(spark, d), k)), lo, hi), k)), k)
+    rows = G.census_metrics(D.census(D.bidirected(M.canonical_counts(reads(spark, d), k), k, lo), lo, hi), k)
     return rows.select(F.lit(k).alias("k"), "a", *(F.round(c, 4).alias(c) for c in ("nodes", "internal", "unitigs", "avg_internal_nodes", "avg_length_unitigs")))
 
 
@@ -273,7 +280,7 @@ def dbg_census_grid(spark, d):
 @query(f"""WITH {READS}, {_nodes(15, 1, 5)} SELECT a, count(*) FILTER (WHERE x <= reverse(translate(x, 'ACGT', 'TGCA'))) AS nodes,
   CAST(sum(CASE WHEN x = reverse(translate(x, 'ACGT', 'TGCA')) THEN 2 * dout ELSE dout END) // 2 AS BIGINT) AS arcs FROM nd GROUP BY a""")
 def dbg_exact_counts(spark, d):
-    return G.exact_counts(G.degrees(G.grid(K.abundances(K.forward_counts(reads(spark, d), 15)), 1, 5), 15))
+    return D.exact_counts(D.bidirected(M.canonical_counts(reads(spark, d), 15), 15, 1), 15, 1, 5)
 
 
 _UNITIGS = "u AS MATERIALIZED (SELECT DISTINCT a, least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) AS seq FROM done)"
@@ -286,7 +293,7 @@ SELECT a, count(*) AS nr_unitigs, round(avg(l), 4) AS avg_length_unitigs, round(
 
 
 def _metrics(spark, d, k: int, lo: int, hi: int) -> DataFrame:
-    rows = U.unitig_metrics(U.unitigs(E.graph(reads(spark, d), k, lo, hi), k), k)
+    rows = U.size_metrics(D.unitig_sizes(D.all_walks(E.packed_graph(reads(spark, d), k, lo), k, lo, hi)[0], k), k)
     return rows.select("a", "nr_unitigs", *(F.round(c, 4).alias(c) for c in ("avg_length_unitigs", "e_size", "avg_internal_nodes")), "n50")
 
 
@@ -298,7 +305,7 @@ def _e_size_sql(k: int, lo: int, hi: int) -> str:
 
 @query(f"WITH {READS}, {_nodes(15, 2, 2)}, {_walk(15)}, {_UNITIGS} SELECT a, seq FROM u")
 def unitig_sequences(spark, d):
-    return U.unitigs(E.graph(reads(spark, d), 15, 2, 2), 15)
+    return D.unitigs(*D.all_walks(E.packed_graph(reads(spark, d), 15, 2), 15, 2, 2), 15)
 
 
 @query(_metrics_sql(17, 2, 3))
@@ -306,12 +313,26 @@ def unitig_metrics(spark, d):
     return _metrics(spark, d, 17, 2, 3)
 
 
-@query(_e_size_sql(17, 2, 3))
+@query(_e_size_sql(17, 2, 5))
 def census_e_size(spark, d):
-    rows = U.e_size(U.census_lengths(E.graph(reads(spark, d), 17, 2, 3), 17), 17)
+    """E-sizes for minimum abundances 2 to 5, from one set of pointers for all of them."""
+    nodes = E.packed_graph(reads(spark, d), 17, 2)
+    rows = U.e_size(D.census_lengths(nodes, D.all_walks(nodes, 17, 2, 5)[0], 2, 5), 17)
     return rows.select(F.lit(17).alias("k"), "a", F.round("unitigs", 4).alias("unitigs"), F.round("e_size", 4).alias("e_size"))
 
 
+@query(f"""WITH {READS}, {_nodes(17, 3, 4)}, {_walk(17)}, w AS (
+  SELECT a, nodes + 16.0::DOUBLE AS l, m / n AS w FROM done WHERE m IS NOT NULL UNION ALL SELECT a, 17.0::DOUBLE, m / n FROM nd WHERE din = 0 AND dout = 0 AND m IS NOT NULL
+), s AS (SELECT a, count(*) AS draws, avg(w * l * l) AS u, avg(w * l) AS v, var_pop(w * l * l) AS uu, var_pop(w * l) AS vv, covar_pop(w * l * l, w * l) AS uv FROM w GROUP BY a),
+d AS (SELECT a, draws, u / v AS y, sqrt((uu - 2 * u / v * uv + u * u / (v * v) * vv) / (v * v * draws)) AS sd FROM s)
+SELECT a, draws, round(y, 4) AS e_size, round(sd, 4) AS deviation, round(y - 1.96 * sd, 4) AS low, round(y + 1.96 * sd, 4) AS high FROM d""")
+def e_size_intervals(spark, d):
+    """The E-size with its 95 % interval where every unitig of a forward node is a draw."""
+    nodes = E.packed_graph(reads(spark, d), 17, 3)
+    rows = U.e_size_interval(D.weighted_unitigs(nodes, D.all_walks(nodes, 17, 3, 4)[0], 3, 4), 17)
+    return rows.select("a", "draws", *(F.round(c, 4).alias(c) for c in ("e_size", "deviation", "low", "high")))
+
+
 @query(_metrics_sql(31, 2, 3))
 def long_unitig_metrics(spark, d):
     """Exact unitigs at k = 31, whose walks are as long as repeated texts."""
@@ -616,6 +637,19 @@ def bins_by_size(spark, d):
     return I.bins_by_size(docs, "doc_id", "size", 50_000, "source").select("doc_id", "source", "bin")
 
 
+@query("""WITH RECURSIVE r AS MATERIALIZED (SELECT doc_id, source, coalesce(length(text), 0) + 1 AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+b AS (
+  SELECT source, i, size AS held, 0 AS bin FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.source, r.i, CASE WHEN b.held + r.size > 50000 AND b.held > 0 THEN r.size ELSE b.held + r.size END, CASE WHEN b.held + r.size > 50000 AND b.held > 0 THEN b.bin + 1 ELSE b.bin END
+  FROM b JOIN r ON r.source IS NOT DISTINCT FROM b.source AND r.i = b.i + 1
+) SELECT r.doc_id, r.source, CAST(b.bin AS BIGINT) AS bin FROM r JOIN b ON b.source IS NOT DISTINCT FROM r.source AND b.i = r.i""")
+def greedy_bins_by_size(spark, d):
+    """Documents of each source in parts of 50,000 characters, each with a separator; a full part is followed by an empty one."""
+    docs = table(spark, d, "documents").select("doc_id", "source", (F.coalesce(F.length("text"), F.lit(0)) + 1).alias("size"))
+    return I.greedy_bins(docs, "doc_id", "size", 50_000, "source").select("doc_id", "source", "bin")
+
+
 @query("""WITH w AS (SELECT doc_id AS pos, n_chars AS weight FROM documents), r AS (SELECT * FROM w WHERE pos % 11 <> 0 ORDER BY weight DESC, pos LIMIT (SELECT greatest(0, count(*) // 8 - (count(*) + 10) // 11) FROM w))
 SELECT pos, weight, 'regular' AS kind FROM w WHERE pos % 11 = 0 UNION ALL SELECT pos, weight, 'heavy' FROM r""")
 def semi_greedy_positions_of_documents(spark, d):
@@ -631,5 +665,5 @@ def counted_pattern_file(spark, d):
 
 @query(f"WITH {READS}, {_nodes(15, 2, 2)}, {_walk(15)}, {_UNITIGS} SELECT length(seq) AS size, count(*) AS n FROM u GROUP BY 1")
 def unitig_lengths(spark, d):
-    found = U.unitigs(E.graph(reads(spark, d), 15, 2, 2), 15)
-    return found.groupBy(F.length("seq").cast("long").alias("size")).agg(F.count("*").alias("n"))
+    found = D.unitig_sizes(D.all_walks(E.packed_graph(reads(spark, d), 15, 2), 15, 2, 2)[0], 15)
+    return found.select("size", F.col("times").alias("n"))

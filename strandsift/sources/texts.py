@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.running import running
+from ..operators.running import running, running_min
+from ..storage import durable
 
 METRICS = (
     "k int, a int, nr_nodes double, nr_edges long, avg_internal_nodes double, avg_length_unitigs double, est_sample_size long, nr_unitigs double, e_size double"
@@ -93,6 +94,51 @@ def bins_by_size(df: DataFrame, order: str, size: str, capacity: int, *partition
     return before.withColumn("bin", F.floor(F.col("bin") / capacity).cast("long"))
 
 
+def greedy_bins(df: DataFrame, order: str, size: str, capacity: int, *partition: str) -> DataFrame:
+    """Numbers for rows in ``order``, from 0 in each group of ``partition``: a row begins a new bin if it would take a bin
+    that holds something beyond ``capacity``, and the bin then counts from this row on.
+
+    Where a bin that begins at a row ends doesn't depend on the bins before it, so each row points to the first row of the
+    next bin, found in one running minimum over the ends of all rows.  From the first row of a group on, pointers are
+    doubled until no new beginning is found, about log2(bins) rounds; no group is walked through in one task.  Sizes of
+    null count as 0; ``order`` tells the rows of a group apart.
+    """
+    keys = list(partition)
+    rows = running(df, F.coalesce(F.col(size), F.lit(0)), keys, [F.col(order)], "_from")
+    rows = running(rows, F.lit(1), keys, [F.col(order)], "_row").withColumn("_to", F.col("_from") + F.coalesce(F.col(size), F.lit(0)))
+    rows = durable(rows, "rows")
+    # the first row that ends beyond the capacity of a bin from here: the least number among the greater ends
+    ends = rows.select(*keys, F.col("_to").alias("_v"), F.lit(1).alias("_kind"), "_row", "_from", F.col("_row").alias("_end"))
+    asks = rows.select(*keys, (F.col("_from") + capacity).alias("_v"), F.lit(0).alias("_kind"), "_row", "_from", F.lit(None).cast("long").alias("_end"))
+    found = running_min(asks.unionAll(ends), F.col("_end"), keys, [F.desc("_v"), F.col("_kind"), F.desc("_row")], "_next").where("_kind = 0 and _next is not null")
+    start = rows.select(*keys, F.col("_row").alias("_at"), F.col("_from").alias("_begin"))
+    # a row that is too large by itself stays where it is when the bin is empty, and the one after it begins the next bin
+    met = _meet(found, start, keys, "_next", "_at").withColumn("_to", F.col("_next") + F.when(F.col("_begin") > F.col("_from"), 0).otherwise(1))
+    step = durable(met.select(*keys, "_row", "_to"), "steps")
+    bins = durable(rows.where("_row = 0").select(*keys, "_row"), "bins")
+    seen = bins.count()
+    while True:
+        ahead = _meet(bins, step.withColumnRenamed("_row", "_at"), keys, "_row", "_at", "left")
+        bins, before = durable(ahead.select(*keys, F.explode(F.array("_row", "_to")).alias("_row")).where("_row is not null").distinct(), "bins"), seen
+        seen = bins.count()
+        if seen == before:
+            break
+        on = step.withColumnsRenamed({"_row": "_at", "_to": "_far"})
+        step = durable(_meet(step, on, keys, "_to", "_at").select(*keys, "_row", F.col("_far").alias("_to")), "steps")
+    marked = _meet(rows, bins.select(*keys, F.col("_row").alias("_at")), keys, "_row", "_at", "left").withColumn("_first", F.when(F.col("_at").isNull(), 0).otherwise(1))
+    counted = running(marked.select(*df.columns, "_first"), F.col("_first"), keys, [F.col(order)], "bin")
+    return counted.select(*df.columns, (F.col("bin") + F.col("_first") - 1).alias("bin"))
+
+
+def _meet(a: DataFrame, b: DataFrame, keys: list[str], left: str, right: str, how: str = "inner") -> DataFrame:
+    """Rows of the same group, a null group included, with ``left`` equal to ``right``."""
+    names = {c: f"_group{i}" for i, c in enumerate(keys)}
+    same = F.col(left) == F.col(right)
+    for c, other in names.items():
+        same = same & F.col(c).eqNullSafe(F.col(other))
+    return a.join(b.withColumnsRenamed(names), same, how).drop(*names.values())
+
+
 def alignment_column(lines: DataFrame, row: str, value: str, number: int) -> DataFrame:
     """The text of one aligned sequence: the characters at column 2 * number of all lines but headers, without gaps."""
     chars = lines.where(~F.col(value).startswith(">")).select(row, F.substring(value, 2 * number + 1, 1).alias("c")).where("c <> '' and c not in (' ', '=', '-', '_')")

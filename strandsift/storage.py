@@ -57,3 +57,10 @@ def _forget(spark: SparkSession, top: str) -> None:
             _delete(spark, top)
     except Exception:  # noqa: BLE001  the JVM may be gone already
         pass
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, a plain scan, dealt to as many tasks as there are cores where the files are cut into fewer pieces; scans of
+    more pieces stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandsift.functions import packed as P
+from strandsift.operators import allk as A
 from strandsift.operators import bidirected as D
 from strandsift.operators import superkmers as S
 from strandsift.operators import unitigs as U
@@ -84,7 +85,7 @@ def test_super_kmers_are_few_and_whole(spark):
     """The k-mers of the runs, cut out in Python, are those of the reads, across the ends of segments too."""
     rng = random.Random(8)
     seq = "".join(rng.choice("ACGT") for _ in range(5000))
-    codes = S._CODES[np.frombuffer(seq.encode(), np.uint8)]
+    codes = S.CODES[np.frombuffer(seq.encode(), np.uint8)]
     bucket, hi, lo, n, times = S.cut(codes, np.full(len(seq), len(seq)), 31, 13)
     found = Counter()
     for h, low, c, t in zip(hi, lo, n, times, strict=True):
@@ -97,10 +98,10 @@ def test_super_kmers_are_few_and_whole(spark):
     try:
         import pyarrow as pa
 
-        pieces = list(S._pieces(pa.array([seq, None, "ACG", seq[:900]]), 31))
+        pieces = list(S.pieces(pa.array([seq, None, "ACG", seq[:900]]), 31))
     finally:
         S.SEGMENT = old
-    total = sum(len(S.whole_windows(c, e, 31)) for c, e in pieces)
+    total = sum(len(S.whole_windows(c, e, 31)) for c, e, _, _ in pieces)
     assert total == len(seq) - 30 + 870
 
 
@@ -144,3 +145,33 @@ def test_empty_reads(spark):
     assert nodes.count() == 0
     found, ends = D.all_walks(nodes, 15, 1, 3)
     assert found.count() == 0 and D.unitigs(found, ends, 15).count() == 0
+
+
+@pytest.mark.parametrize("lo, hi, segment", [(1, 6, 1 << 20), (3, 31, 1 << 20), (15, 20, 64), (9, 9, 100)])
+def test_counts_for_all_k(spark, monkeypatch, lo, hi, segment):
+    monkeypatch.setattr(S, "SEGMENT", segment)
+    seqs = [*some_reads(lo), "".join(random.Random(4).choice("ACGT") for _ in range(900))]
+    rows = A.all_k_counts(reads(spark, seqs), lo, hi).collect()
+    want = set()
+    for k in range(lo, hi + 1):
+        c = counted(seqs, k)
+        want |= {(k, x, c.get(x, 0), 0 if x == rc(x) else c.get(rc(x), 0)) for x in {min(x, rc(x)) for x in c}}
+    assert len(rows) == len(want)
+    assert {(r["k"], "".join("ACGT"[r["code"] >> 2 * j & 3] for j in range(r["k"] - 1, -1, -1)), r["f"], r["r"]) for r in rows} == want
+
+
+def test_common_prefixes():
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choice("ACGT") for _ in range(rng.randrange(3, 32))) for _ in range(300)} | {"A" * 31, "A" * 30, "T" * 31}, key=lambda s: (s.ljust(31, "A"), len(s)))
+    x = np.array([sum("ACGT".index(c) << 2 * (30 - i) for i, c in enumerate(s)) for s in words], np.uint64)
+    got = A.common_prefixes(x, np.array([len(s) for s in words]), 31)
+    want = [-1] + [next((i for i, (a, b) in enumerate(zip(s, t)) if a != b), min(len(s), len(t))) for s, t in zip(words, words[1:])]  # noqa: B905
+    assert got.tolist() == want
+
+
+def test_landscape_of_all_k_equals_that_of_each(spark):
+    r = reads(spark, some_reads(12))
+    cols = ("k", "a", "nr_nodes", "avg_internal_nodes", "avg_length_unitigs", "nr_unitigs")
+    one = {x[:2]: x[2:] for x in shown(E.all_k_census(r, 4, 9, 1, 3), *cols)}
+    two = {x[:2]: x[2:] for x in shown(E.census_landscape(r, list(range(4, 10)), 1, 3, with_e_size=False), *cols)}
+    assert one.keys() == two.keys() and all(one[i] == pytest.approx(two[i]) for i in one)
