@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import bases as B
 from ..functions import statistics as S
 from ..functions.packed import spelled
+from ..operators import allk as A
 from ..operators import bidirected as D
 from ..operators import graph as G
 from ..operators import kmers as K
@@ -201,6 +202,17 @@ def distinct_kmers_by_k(spark, d):
     return M.distinct_kmers(reads(spark, d), [15, 20, 25, 30])
 
 
+@query(f"""WITH {READS}, places AS (SELECT substr(seq, CAST(i AS INTEGER) + 1, 31) AS x FROM (SELECT seq, unnest(range(0, length(seq) - 14)) AS i FROM reads WHERE length(seq) >= 15)),
+both_ AS MATERIALIZED (SELECT x, count(*) AS m FROM places GROUP BY x),
+each AS ({" UNION ALL ".join(f"SELECT {k} AS k, substr(x, 1, {k}) AS y, CAST(sum(m) AS BIGINT) AS m FROM both_ WHERE length(x) >= {k} GROUP BY 2" for k in range(15, 32))})
+SELECT k, count(*) AS kmers, CAST(sum(m) AS BIGINT) AS occurrences, count(*) FILTER (WHERE m = 1) AS once, max(m) AS most FROM each GROUP BY k""")
+def kmers_of_all_k(spark, d):
+    """Distinct k-mers, occurrences and the most frequent one on the forward strand for every k from 15 to 31, from one order of
+    the reads' substrings."""
+    both = A.all_k_counts(reads(spark, d), 15, 31).select("k", F.explode(F.expr("filter(array(f, r), m -> m > 0)")).alias("m"))
+    return both.groupBy("k").agg(F.count("*").alias("kmers"), F.sum("m").alias("occurrences"), F.count_if(F.col("m") == 1).alias("once"), F.max("m").alias("most"))
+
+
 @query(f"WITH {READS}, {_counts(8)} SELECT x AS kmer, n FROM ab WHERE x = reverse(translate(x, 'ACGT', 'TGCA'))")
 def palindromes(spark, d):
     return M.counted_strings(reads(spark, d), 8).where(B.is_palindrome(F.col("kmer"))).select("kmer", "n")
@@ -277,6 +289,13 @@ def dbg_census_grid(spark, d):
     return parts[0].unionAll(parts[1]).unionAll(parts[2])
 
 
+@query(" UNION ALL ".join(f"({_census_sql(k, 1, 3)})" for k in range(17, 20)))
+def dbg_census_of_a_range_of_k(spark, d):
+    """The census for all k from 17 to 19 at once: one order of the reads' substrings and one graph for all of them."""
+    rows = E.all_k_sums(reads(spark, d), 17, 19, 1, 3)
+    return rows.select("k", "a", *(F.round(c, 4).alias(c) for c in ("nodes", "internal", "unitigs", "avg_internal_nodes", "avg_length_unitigs")))
+
+
 @query(f"""WITH {READS}, {_nodes(15, 1, 5)} SELECT a, count(*) FILTER (WHERE x <= reverse(translate(x, 'ACGT', 'TGCA'))) AS nodes,
   CAST(sum(CASE WHEN x = reverse(translate(x, 'ACGT', 'TGCA')) THEN 2 * dout ELSE dout END) // 2 AS BIGINT) AS arcs FROM nd GROUP BY a""")
 def dbg_exact_counts(spark, d):

@@ -44,7 +44,7 @@ def counted(seqs, k):
     return {x: n for x, n in c.items() if set(x) <= set("ACGT")}
 
 
-@pytest.mark.parametrize("k", [1, 2, 3, 7, 16, 31])
+@pytest.mark.parametrize("k", [1, 7, 31])
 def test_expressions(spark, k):
     rng = random.Random(k)
     rows = [("".join(rng.choice("ACGT") for _ in range(k)),) for _ in range(60)] + [("A" * k,), ("T" * k,)]
@@ -64,7 +64,7 @@ def test_lanes(spark):
         assert (r["t"], r["s"], r["b"], r["d"]) == (max(r["x"]), sorted(r["x"])[-2], r["x"].index(max(r["x"])), sum(n >= 2 for n in r["x"]))
 
 
-@pytest.mark.parametrize("k", [1, 2, 5, 8, 15, 21, 31])
+@pytest.mark.parametrize("k", [1, 8, 15, 31])
 def test_counts(spark, k):
     seqs = some_reads(k)
     want = counted(seqs, k)
@@ -109,7 +109,7 @@ def shown(df, *cols):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
-@pytest.mark.parametrize("k, seed", [(2, 1), (4, 2), (5, 3), (6, 7), (11, 4), (12, 5), (31, 6)])
+@pytest.mark.parametrize("k, seed", [(2, 1), (5, 3), (12, 5)])
 def test_graphs_equal_those_of_strings(spark, k, seed):
     r = reads(spark, some_reads(seed)).repartition(2)
     lo, hi = 1, 4
