@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import durable
+from .blocked import RANGE, is_blocked, range_lines, read_blocked_lines
 
 READS = "path string, read_id long, header string, seq string"
 
@@ -48,10 +50,11 @@ def _paths(spark: SparkSession, list_path: str) -> list[str]:
 def read_sequences(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, read_id, header, seq) of FASTA/FASTQ files of any size; read_id tells the reads of a file apart.
 
-    Plain FASTA, and plain FASTQ of four lines a record, are cut into records by many tasks; gzip files, which can't be
-    cut, are read as streams, one task each, as is plain FASTQ with sequences over several lines.  Qualities are dropped.
+    Plain FASTA, plain FASTQ of four lines a record, and blocked gzip files of both are cut into records by many tasks; other
+    gzip files, which can't be cut, are read as streams, one task each, as is FASTQ with sequences over several lines.
+    Qualities are dropped.
     """
-    kinds: dict[str, list[str]] = {"fasta": [], "fastq": [], "stream": []}
+    kinds: dict[str, list[str]] = {"fasta": [], "fastq": [], "stream": [], "blocked": []}
     for path in paths:
         kinds[_kind(spark, path)].append(path)
     out = None
@@ -62,14 +65,21 @@ def read_sequences(spark: SparkSession, *paths: str) -> DataFrame:
         if kinds[more]:
             one = read(spark, *kinds[more])
             out = one if out is None else out.unionByName(one)
+    for path in kinds["blocked"]:
+        one = read_blocked(spark, path)
+        out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], READS)
 
 
 def _kind(spark: SparkSession, path: str) -> str:
     """How a file can be read: by its name and first lines."""
-    if path.endswith(".gz"):
-        return "stream"
-    head = [r["value"] for r in spark.read.text(path).limit(8).collect()]
+    if path.endswith((".gz", ".bgz", ".bgzf")):
+        return "blocked" if is_blocked(path) and _shape(_head(path)) != "stream" else "stream"
+    return _shape([r["value"] for r in spark.read.text(path).limit(8).collect()])
+
+
+def _shape(head: list[str]) -> str:
+    """fasta, fastq (four lines a record), or stream for all else."""
     if head and head[0][:1] == ">":
         return "fasta"
     lines = [x for i, x in enumerate(head) if i % 4 == 2]
@@ -102,15 +112,47 @@ def read_fastq_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, read_id, header, seq) of plain FASTQ with four lines a record, by many tasks: lines are numbered inside the
     blocks that a file is cut into, then by the sums of earlier blocks, and four lines in a row are a record."""
     lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"), F.regexp_replace("value", "\r$", "").alias("value"))
-    lines = durable(lines, "lines")
-    sums = lines.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("i").alias("first"))
+    return _four_line_records(durable(lines, "lines"))
+
+
+def _numbered(lines: DataFrame, one) -> DataFrame:
+    """``lines`` (path, block, i, value) with ``number``: the sum of ``one`` over the earlier lines of a file, this one included,
+    from sums inside blocks and sums of blocks."""
+    rows = lines.withColumn("one", one)
+    sums = rows.groupBy("path", "block").agg(F.sum("one").alias("n"))
     base = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a block
-    numbered = lines.join(F.broadcast(base), ["path", "block"]).withColumn("number", F.col("base") + F.col("i") - F.col("first"))
+    inside = F.sum("one").over(Window.partitionBy("path", "block").orderBy("i"))
+    return rows.withColumn("inside", inside).join(F.broadcast(base.select("path", "block", "base")), ["path", "block"]).select("path", "block", "i", "value", (F.col("base") + F.col("inside")).alias("number"))
+
+
+def _four_line_records(lines: DataFrame) -> DataFrame:
+    numbered = _numbered(lines, F.lit(1)).withColumn("number", F.col("number") - 1)
     of = F.expr("number % 4")
     found = numbered.where(of < 2).groupBy("path", F.expr("number div 4").alias("read_id")).agg(F.max(F.when(of == 0, F.col("value"))).alias("h"), F.max(F.when(of == 1, F.col("value"))).alias("seq"))
     return found.where("h like '@%'").select("path", "read_id", F.regexp_extract("h", r"^@(\S*)", 1).alias("header"), F.coalesce("seq", F.lit("")).alias("seq"))
 
 
+def _fasta_records(lines: DataFrame) -> DataFrame:
+    """Records of a header line and all lines up to the next one."""
+    numbered = _numbered(lines, F.col("value").startswith(">").cast("int")).where("number > 0")
+    parts = F.array_sort(F.collect_list(F.struct("block", "i", "value")))
+    whole = numbered.groupBy("path", (F.col("number") - 1).alias("read_id")).agg(parts.alias("p"))
+    seq = F.array_join(F.transform(F.slice("p", 2, F.size("p")), lambda x: x["value"]), "")
+    return whole.select("path", "read_id", F.regexp_extract(F.col("p")[0]["value"], r"^>(\S*)", 1).alias("header"), seq.alias("seq"))
+
+
+def read_blocked(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:
+    """(path, read_id, header, seq) of a blocked gzip file (see :mod:`strandsift.sources.blocked`): FASTA, or FASTQ of four
+    lines a record, by many tasks."""
+    lines = durable(read_blocked_lines(spark, path, range_bytes), "lines")
+    return _fasta_records(lines) if _shape(_head(path)) == "fasta" else _four_line_records(lines)
+
+
+def _head(path: str) -> list[str]:
+    """The first lines of a blocked file."""
+    return list(islice(range_lines(path, 0, 1), 8))
+
+
 def read_fasta_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """(path, header, seq) of plain FASTA by splitting at record starts, so that one large file is read by many tasks."""
     records = spark.read.option("lineSep", "\n>").text(list(paths)).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"^>", "").alias("r")).where("trim(r) <> ''")
