@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import positions, reverse_complement
+from ..functions.packed import MOST_K
+from .superkmers import counted_strings
 
 
 def read_stats(reads: DataFrame) -> DataFrame:
@@ -66,7 +68,11 @@ def build_index(reads: DataFrame, ks: list[int], *by: str) -> DataFrame:
     """(k, by, kmer, m): forward counts for all k, from which everything else follows; one index for each value of ``by``."""
     out = None
     for k in ks:
-        one = forward_counts(reads, k, *by).select(F.lit(k).alias("k"), *by, "kmer", "m")
+        if by or k > MOST_K:
+            one = forward_counts(reads, k, *by)
+        else:
+            one = counted_strings(reads, k).where("m is not null")
+        one = one.select(F.lit(k).alias("k"), *by, "kmer", "m")
         out = one if out is None else out.unionAll(one)
     return out
 

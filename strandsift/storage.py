@@ -21,10 +21,26 @@ def folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/strandsift-{spark.sparkContext.applicationId}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def _place(spark: SparkSession, path: str):
+    """A path and its file system, as Spark has them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    system, where = _place(spark, path)
+    system.delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, where = _place(spark, path)
+    return system.exists(where)
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if it isn't there."""
+    system, where = _place(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(where)) if system.exists(where) else []
 
 
 _registered: set[str] = set()
@@ -48,13 +64,13 @@ def drop(*tables: DataFrame) -> None:
     """Delete tables that :func:`durable` has written and that nothing reads any more."""
     for t in tables:
         if path := getattr(t, "_durable_path", None):
-            _delete(t.sparkSession, path)
+            delete(t.sparkSession, path)
 
 
 def _forget(spark: SparkSession, top: str) -> None:
     try:
         if spark.sparkContext._jsc is not None:
-            _delete(spark, top)
+            delete(spark, top)
     except Exception:  # noqa: BLE001  the JVM may be gone already
         pass
 
