@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from ..functions import bases as B
 from ..functions import statistics as S
-from ..functions.packed import spelled
+from ..functions.packed import packed, spelled
 from ..operators import allk as A
 from ..operators import bidirected as D
 from ..operators import graph as G
 from ..operators import kmers as K
+from ..operators import ranges as R
 from ..operators import superkmers as M
 from ..operators import suffixes as X
 from ..operators import text as T
@@ -433,11 +434,11 @@ SELECT a, max(drawn) AS drawn, round(max(total) * 1.0::DOUBLE / max(drawn) * sum
 FROM s JOIN nd USING (x), t GROUP BY a""")
 def sampled_census(spark, d):
     r = reads(spark, d)
-    nodes = E.graph(r, 15, 1, 3)
+    nodes = durable(_degrees(spark, d, 15, 1, 3), "nodes")
     each = K.kmers(r, 15, "read_id")
-    drawn = durable(arithmetic_sample(each, F.col("read_id") * 7919 + F.col("pos").cast("long") * 104729, 1000, 100).select("kmer"), "drawn")
+    drawn = durable(arithmetic_sample(each, F.col("read_id") * 7919 + F.col("pos").cast("long") * 104729, 1000, 100).select(packed("kmer").alias("x")), "drawn")
     scale = K.total_kmers(r, 15).crossJoin(drawn.agg(F.count("*").alias("drawn")))
-    sums = drawn.join(nodes, "kmer").groupBy("a").agg(F.sum(F.lit(1.0) / F.col("n")).alias("nodes"), F.sum(F.when((F.col("din") == 1) & (F.col("dout") == 1), F.lit(1.0) / F.col("n")).otherwise(0.0)).alias("internal"))
+    sums = drawn.join(nodes, "x").groupBy("a").agg(F.sum(F.lit(1.0) / F.col("n")).alias("nodes"), F.sum(F.when((F.col("din") == 1) & (F.col("dout") == 1), F.lit(1.0) / F.col("n")).otherwise(0.0)).alias("internal"))
     factor = F.col("total_kmers") * F.lit(1.0) / F.col("drawn")
     return sums.crossJoin(F.broadcast(scale)).select("a", "drawn", F.round(factor * F.col("nodes"), 4).alias("nodes"), F.round(factor * F.col("internal"), 4).alias("internal"))
 
@@ -629,6 +630,15 @@ def text_from_rank(spark, d):
     return X.text_from_rank(docs, table, table.where("rank % 1000 = 0"), 30)
 
 
+@query(f"WITH RECURSIVE {_WORDS}, {_PLACES}, {_SUM} SELECT pattern_id, occ, docc FROM s")
+def pattern_count_by_ranges(spark, d):
+    """Occurrences and documents of all patterns as ranges of the written suffix order; no text is read."""
+    docs, p, order = collection(spark, d), word_patterns(spark, d), _suffixes(spark, d)
+    index = durable(R.search_index(docs, order), "search-index")
+    found = R.places(R.search(index, p), order, docs.count())
+    return T.pattern_summary(found, p)
+
+
 # streams, cutting and formats
 
 
