@@ -71,6 +71,8 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 FENCES = frozenset("ul ol dl table td th body html div section article".split())
 #: Elements that hold text and are repeated: those of one name in one parent are one node.
 TEXTUAL = frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption address".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li dt dd".split())
 LISTS = frozenset("ul ol dl table tbody thead tfoot figure header hgroup".split())
 NEVER = frozenset("nav footer aside form menu dialog fieldset head".split())
 MAIN = frozenset(("article", "main"))
@@ -455,7 +457,9 @@ def article(tree: list[tuple[int, str]], varying: dict[int, int]) -> int:
 
 def decide(tree: list[tuple[int, str]], slots: dict[int, dict]) -> dict:
     """What a template says: its tree, the node of the article, and by node inside it whether its slot is content and which
-    texts are constant.  ``slots`` has size, links, varying and constant [(text hash, size)] by node."""
+    texts are constant.  ``slots`` has size, links, varying and constant [(text hash, size)] by node.
+
+    Where a page marks its article, headings that all pages share and lists of links are parts of it like others."""
     top = article(tree, {i: s["varying"] for i, s in slots.items()})
     out: dict = {"tree": tree, "article": top, "nodes": {}}
     if top < 0:
@@ -464,11 +468,15 @@ def decide(tree: list[tuple[int, str]], slots: dict[int, dict]) -> dict:
     for i, (p, _) in enumerate(tree):
         inside[i] = inside[i] or p >= 0 and inside[p]
     mine = {i: s for i, s in slots.items() if inside[i]}
-    content = {i: s["links"] <= 0.5 * s["size"] for i, s in mine.items()}
+    names, up = [n for _, n in tree], top
+    while up >= 0 and not is_main(names[up]):
+        up = tree[up][0]
+    own = {i for i in mine if up >= 0 and tag_of(names[i]) in HEADINGS | ITEMS}
+    content = {i: i in own or s["links"] <= 0.5 * s["size"] for i, s in mine.items()}
     total = sum(s["size"] for i, s in mine.items() if content[i])
-    fixed = sum(size for i, s in mine.items() if content[i] for _, size in s["constant"])
+    fixed = sum(size for i, s in mine.items() if content[i] and i not in own for _, size in s["constant"])
     for i, s in mine.items():
-        texts = sorted(t for t, _ in s["constant"]) if 2 * fixed <= total else []
+        texts = sorted(t for t, _ in s["constant"]) if 2 * fixed <= total and i not in own else []
         if texts or not content[i]:
             out["nodes"][str(i)] = [content[i], texts]
     return out

@@ -321,6 +321,20 @@ def test_templates(spark):
     assert H.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_repeated_headings_and_link_lists_of_marked_articles(spark):
+    """Eight pages of one host whose articles share two headings and end with links: nothing of the article is lost, while
+    menus, the footer and a line that all articles have go."""
+    rows, want = [], {}
+    for i in range(8):
+        paragraphs = [f"Page {i} begins with its own words about subject {i * 7}.", f"A second paragraph of page {i} goes on for a while."]
+        links = [f"Source {i} number {j}" for j in range(3)]
+        items = "".join(f"<li><a href=/s{i}{j}>{x}</a></li>" for j, x in enumerate(links))
+        rows.append((i, f"http://w.example/{i}", f"<body><nav><a href=/>Home</a></nav><article><h1>Title {i}</h1><h2>Summary</h2><p>{paragraphs[0]}</p><p>{paragraphs[1]}</p><p>Share this story now</p><h2>Sources</h2><ul>{items}</ul></article><footer>About us</footer></body>"))
+        want[i] = "\n\n".join([f"Title {i}", "Summary", *paragraphs, "Sources", *links])
+    got = H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == want
+
+
 def test_layouts_that_few_pages_have(spark, monkeypatch):
     """One page in twenty of a host has its own layout; its fixed line is template there, by all pages of the layout."""
     page = lambda i: f"<div class=rare><p>Text number {i} here</p><h4>Our fixed line</h4></div>" if i % 20 == 0 else f"<div><p>Plain text {i}</p></div>"
