@@ -685,6 +685,15 @@ def semi_greedy_positions_of_documents(spark, d):
     return semi_greedy_positions(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("n_chars").alias("weight")), 8, 0.25)
 
 
+@query("""WITH p AS (SELECT doc_id, substr(text, 1, 12) AS p, row_number() OVER (ORDER BY doc_id) - 1 AS n FROM documents WHERE length(text) >= 12)
+SELECT CAST(0 AS BIGINT) AS part, '# number=' || count(*) || ' length=' || coalesce(max(length(p)), 0) || ' file=beginnings forbidden=' || chr(10) AS value FROM p
+UNION ALL SELECT CAST(n // 200 + 1 AS BIGINT), string_agg(p, '' ORDER BY n) FROM p GROUP BY n // 200""")
+def counted_pattern_parts(spark, d):
+    """The beginnings of all documents as a file of patterns of one length, in parts of 200."""
+    docs = table(spark, d, "documents").where(F.length("text") >= 12)
+    return sinks.counted_parts(docs.select(F.col("doc_id").alias("pattern_id"), F.left("text", F.lit(12)).alias("pattern")), "beginnings", 200)
+
+
 @query("""SELECT '# number=' || count(*) || ' length=' || max(length(p)) || ' file=nations forbidden=' || chr(10) || string_agg(p, '' ORDER BY n_nationkey) AS value
 FROM (SELECT n_nationkey, lpad(CAST(n_nationkey AS VARCHAR), 4, '0') || lower(substr(n_name, 1, 4)) AS p FROM nation)""")
 def counted_pattern_file(spark, d):

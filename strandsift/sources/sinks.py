@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.running import running
 from ..operators.text import rank_patterns, weighted_positions
 
 
@@ -35,6 +36,16 @@ def counted_patterns(patterns: DataFrame, name: str = "patterns") -> DataFrame:
     return patterns.agg(F.concat(head, joined).alias("value"))
 
 
+def counted_parts(patterns: DataFrame, name: str = "patterns", size: int = 65536) -> DataFrame:
+    """(part, value): the text of :func:`counted_patterns` in parts, the header as part 0 and then ``size`` patterns each, so
+    that no task holds all of them.  pattern_id tells patterns apart."""
+    numbered = running(patterns.select("pattern_id", "pattern"), F.lit(1), [], [F.col("pattern_id")], "n")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "pattern"))), lambda x: x["pattern"]), "")
+    body = numbered.groupBy(F.expr(f"n div {size} + 1").alias("part")).agg(joined.alias("value"))
+    head = F.concat(F.lit("# number="), F.count("*").cast("string"), F.lit(" length="), F.coalesce(F.max(F.length("pattern")), F.lit(0)).cast("string"), F.lit(f" file={name} forbidden=\n"))
+    return patterns.agg(head.alias("value")).select(F.lit(0).cast("long").alias("part"), "value").unionAll(body)
+
+
 def write_index(abundance: DataFrame, path: str) -> None:
     """A k-mer table, one folder for each k."""
     abundance.write.mode("overwrite").partitionBy("k").parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.running import running, running_min
 from ..storage import durable
+from .blocked import file_system
 
 METRICS = (
     "k int, a int, nr_nodes double, nr_edges long, avg_internal_nodes double, avg_length_unitigs double, est_sample_size long, nr_unitigs double, e_size double"
@@ -65,18 +66,27 @@ def read_suffixes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_weights(spark: SparkSession, path: str) -> DataFrame:
-    """(pos, weight) from a file of unsigned 32-bit little-endian numbers, one for each position (a file of 2 GB at most)."""
+def read_weights(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> DataFrame:
+    """(pos, weight) from a file of unsigned 32-bit little-endian numbers, one for each position; a task reads a range of
+    the file, in parts of a million numbers.  Bytes after the last whole number don't count."""
+    system, name = file_system(path)
+    step = max(1, range_bytes // 4)
+    numbers = system.get_file_info(name).size // 4
+    schema = pa.schema([("pos", pa.int64()), ("weight", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, name = file_system(path)
         for b in batches:
-            for content in b.column("content"):
-                w = np.frombuffer(content.as_buffer(), "<u4").astype(np.int64)
-                for lo in range(0, len(w), 1 << 20):
-                    part = w[lo : lo + (1 << 20)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + len(part))), pa.array(part)], ["pos", "weight"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "pos long, weight long")
+            for block in b.column(0).to_pylist():
+                with system.open_input_file(name) as f:
+                    for lo in range(block * step, min(numbers, (block + 1) * step), 1 << 20):
+                        n = min(numbers, (block + 1) * step, lo + (1 << 20)) - lo
+                        f.seek(4 * lo)
+                        part = np.frombuffer(f.read(4 * n), "<u4").astype(np.int64)
+                        yield pa.record_batch([pa.array(np.arange(lo, lo + n)), pa.array(part)], schema=schema)
+
+    n = max(1, -(-numbers // step))
+    return spark.range(0, n, 1, min(n, 100_000)).mapInArrow(run, "pos long, weight long")
 
 
 def tagged_documents(df: DataFrame, text: str, tag: str, *keep: str) -> DataFrame:

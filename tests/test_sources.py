@@ -57,6 +57,10 @@ def test_weights_and_suffix_tables(spark, tmp_path):
 
     (tmp_path / "w").write_bytes(struct.pack("<4I", 5, 0, 70000, 4294967295))
     assert sorted(map(tuple, I.read_weights(spark, f"{tmp_path}/w").collect())) == [(0, 5), (1, 0), (2, 70000), (3, 4294967295)]
+    (tmp_path / "v").write_bytes(struct.pack("<5I", 9, 8, 7, 6, 5) + b"xyz")
+    assert sorted(map(tuple, I.read_weights(spark, f"{tmp_path}/v", range_bytes=8).collect())) == [(0, 9), (1, 8), (2, 7), (3, 6), (4, 5)]
+    (tmp_path / "u").write_bytes(b"")
+    assert I.read_weights(spark, f"{tmp_path}/u").count() == 0
     rows = spark.createDataFrame([(1, 0, 0, "$"), (0, 0, 1, "a")], "rank long, doc_id long, pos int, bwt string")
     sinks.write_suffixes(rows, f"{tmp_path}/s")
     assert sorted(map(tuple, I.read_suffixes(spark, f"{tmp_path}/s").collect())) == sorted(map(tuple, rows.collect()))
@@ -154,3 +158,12 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     cli.main(["grep", "two", f"{tmp_path}/t.txt", "-c"])
     assert capsys.readouterr().out.strip() == "2"
+
+
+def test_counted_patterns_in_parts(spark):
+    """The parts, one after another, are the text of the whole file."""
+    patterns = spark.createDataFrame([(i * 3, f"p{i:03d}") for i in range(57)], "pattern_id long, pattern string").repartition(4)
+    rows = sinks.counted_parts(patterns, "some", 10).sort("part").collect()
+    assert len(rows) == 7
+    assert "".join(r["value"] for r in rows) == sinks.counted_patterns(patterns, "some").first()["value"]
+    assert sinks.counted_parts(patterns.where("pattern_id < 0"), "none", 10).count() == 1
