@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 from .durable import drop, durable
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(id, component) for every id in ``edges`` (a, b): component is the smallest id that can be reached.
 
     Each round takes the least label over the neighbours and then the label of the label, so a chain of n edges
     takes about log n rounds.  Only labels and edges are shuffled, hubs are summed before the exchange, and the
-    driver gets one count a round.  An empty edge table gives an empty result.
+    driver gets one count a round.  Edges may repeat; every round reads them, so they should be a written table.
+    ``known`` may hold the components of a part of the edges: labels start from there, so that only what new edges
+    join takes rounds.  An empty edge table gives an empty result.
     """
-    both = durable(
-        edges.select("a", "b").where("a <> b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(),
-        "edges",
-    )
-    label = durable(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    ends = edges.select("a", "b").where("a <> b")
+    both = ends.unionAll(ends.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+    if known is not None:
+        label = label.join(known.withColumnRenamed("component", "before"), "id", "left").select("id", F.least("component", "before").alias("component"))
+    label = durable(label, "labels")
     while True:
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         step = label.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("was"))
@@ -29,5 +32,4 @@ def components(edges: DataFrame) -> DataFrame:
         drop(label)
         label = after
         if not changed:
-            drop(both)
             return label.select("id", "component")

@@ -195,12 +195,13 @@ def _with_main(rows: DataFrame) -> DataFrame:
 
 def _bitmap(ids: DataFrame) -> tuple[int, np.ndarray]:
     """A bit for each value of the first bits of an id's hash that occurs, packed: how far to shift a hash, and the bits.
-    The driver gets 32 MB at most."""
-    bits = min(MAX_BITS, max(16, math.ceil(math.log2(16 * max(1, ids.count())))))
+    Ids may repeat.  The driver gets 32 MB at most (2 ** MAX_BITS bits), in one job."""
+    about = ids.agg(F.approx_count_distinct("id")).first()[0]
+    bits = min(MAX_BITS, max(16, math.ceil(math.log2(16 * max(1, about)))))
     place = F.shiftrightunsigned(F.xxhash64("id"), 64 - bits)
     rows = ids.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
     out = np.zeros((((1 << bits) - 1) // 32768 + 2, 4096), np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         out[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
     return 64 - bits, out
 
@@ -274,13 +275,10 @@ def near_duplicates(
         raise ValueError(f"{id_col} must be a whole number: components are named by their smallest id")
     sig = durable(signatures(docs, id_col, text_col), "signatures")
     known = sig.where("doc_id is not null and n_shingles > 0")
-    classes = durable(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = durable(
-        known.join(classes.withColumnRenamed("rep", "doc_id"), ["set_a", "set_b", "doc_id"])
-        .dropDuplicates(["set_a", "set_b"])
-        .select(F.col("doc_id").cast("long").alias("id"), F.col("n_shingles").alias("n"), "registers", *SKETCH),
-        "nodes",
-    )
+    # equal sets have equal signatures: grouped by all of them, a row for a set is one hash aggregate, summed inside tasks first
+    nodes = durable(known.groupBy("set_a", "set_b", "n_shingles", "registers", *SKETCH).agg(F.min("doc_id").alias("rep")), "nodes")
+    reps = nodes.select(F.col("rep").cast("long").alias("id"), F.col("n_shingles").alias("n"), "registers", *SKETCH)
+    classes = nodes.select("set_a", "set_b", "rep")
     rows = _buckets(reps)
     shared = durable(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "shared")
     hits = durable(rows.join(shared, "bucket"), "buckets")
@@ -319,14 +317,13 @@ def near_duplicates(
             left = star.select("id", "bucket", "support", "n", *SKETCH)
         edges = edges.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         likely = durable(_likely(edges.join(side("a"), "a").join(side("b"), "b"), least), "likely")
-        ids = durable(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-        sets = durable(_full_sets(texts, ids), "sets")
+        sets = durable(_full_sets(texts, likely.select(F.explode(F.array("a", "b")).alias("id"))), "sets")
         full = likely.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
         new = durable(_confirmed(full, percent).distinct(), "links")
         drop(sets)
         links = links.unionAll(new)
         if turn == 0 or not new.isEmpty():
-            labels = components(links)
+            labels = components(links, labels)
         if last:
             break
     drop(hits, support)
