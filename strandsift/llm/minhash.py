@@ -40,6 +40,9 @@ MISS = 1e-9
 #: The ids whose sets are needed are told by a bitmap with 16 bits for each id, at most 2 ** MAX_BITS in all (32 MB): where
 #: there are more ids than that serves, more sets are written than needed, and no other.
 MAX_BITS = 28
+#: The rest is paired once a row has at most so many others of its bucket to meet, on average: that many comparisons of a few
+#: bit operations cost about what the exchanges of one more star round cost for the row.  Links are the same either way.
+PAIRS = 64
 EMPTY = 0xFFFF
 
 
@@ -261,9 +264,8 @@ def near_duplicates(
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of distinct 5-word shingles
-    (A-Z lower-cased); component_id is the smallest doc_id in the connected component.  ``rounds`` star rounds come
-    before the rest is paired: in each bucket, the members outside its largest component with the
-    others.  Candidates whose estimate is more than ``slack`` below the threshold (over five standard errors) are not verified.
+    (A-Z lower-cased); component_id is the smallest doc_id in the connected component.  At most ``rounds`` star rounds (fewer if
+    PAIRS allows) come before the rest is paired: in each bucket, the members outside its largest component with the others.  Candidates whose estimate is more than ``slack`` below the threshold (over five standard errors) are not verified.
 
     Defined cases: a null or empty text has n_shingles 0 and stands alone; a null doc_id gets a null component_id and
     is kept, since no other row can name it, and links nothing; rows that repeat a doc_id are each returned, with
@@ -302,7 +304,7 @@ def near_duplicates(
             size, pairs = now.agg(F.count("*"), F.sum("others")).first()
             if not size:
                 break
-            last = turn == rounds or pairs <= 8 * size
+            last = turn == rounds or pairs <= PAIRS * size
         if last:
             base = now.select("bucket", "id", *fields, "main")
             base = base.withColumn("size", F.floor(F.log("n") / F.lit(-math.log(percent / 100))).cast("int"))
