@@ -149,6 +149,16 @@ def test_components_of_a_chain(spark):
     assert got == {**{i: 1 for i in range(1, 42)}, 100: 100, 101: 100}
 
 
+def test_components_from_known_ones(spark):
+    """New edges join known components, extend them and stand alone; repeated edges change nothing."""
+    old = [(1, 2), (2, 3), (11, 10), (20, 21)]
+    new = [(3, 10), (0, 21), (30, 31), (31, 30), (1, 2)]
+    table = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    known = components(table(old))
+    got = {r["id"]: r["component"] for r in components(table(old + new), known).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 0, 21: 0, 0: 0, 30: 30, 31: 30}
+
+
 def brute_windows(rows, n):
     seen, out = {}, {}
     for d, t in sorted(rows):
