@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bases import positions, reverse_complement
-from ..functions.packed import MOST_K
+from ..functions.packed import MOST_K, spelled
+from ..storage import durable
+from . import superkmers
 from .superkmers import counted_strings
 
 
@@ -48,10 +50,11 @@ def abundance_histogram(abundance: DataFrame) -> DataFrame:
 
 def binned_histogram(abundance: DataFrame, bins: int = 20) -> DataFrame:
     """(bin, low, high, kmers) over equal widths from the least to the largest abundance."""
-    ends = abundance.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    counts = durable(abundance_histogram(abundance).withColumnRenamed("abundance", "n"), "histogram")  # a row for each abundance
+    ends = counts.agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
     at = F.least(F.lit(bins - 1), F.coalesce(F.floor(F.try_divide(F.col("n") - F.col("lo"), width)), F.lit(0))).cast("int")
-    rows = abundance.crossJoin(F.broadcast(ends)).select(at.alias("bin"), "lo", width.alias("w")).groupBy("bin", "lo", "w").agg(F.count("*").alias("kmers"))
+    rows = counts.crossJoin(F.broadcast(ends)).select(at.alias("bin"), "lo", width.alias("w"), "kmers").groupBy("bin", "lo", "w").agg(F.sum("kmers").alias("kmers"))
     return rows.select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("low"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("high"), "kmers")
 
 
@@ -68,8 +71,10 @@ def build_index(reads: DataFrame, ks: list[int], *by: str) -> DataFrame:
     """(k, by, kmer, m): forward counts for all k, from which everything else follows; one index for each value of ``by``."""
     out = None
     for k in ks:
-        if by or k > MOST_K:
+        if k > MOST_K:
             one = forward_counts(reads, k, *by)
+        elif by:
+            one = superkmers.forward_counts(reads, k, *by).select(*by, spelled("code", k).alias("kmer"), "m")
         else:
             one = counted_strings(reads, k).where("m is not null")
         one = one.select(F.lit(k).alias("k"), *by, "kmer", "m")
