@@ -71,3 +71,16 @@ def test_bins_of_a_histogram(spark):
     rows = spark.createDataFrame([(n,) for n in (1, 1, 2, 5, 41)], "n long")
     assert sorted(map(tuple, K.binned_histogram(rows, 4).collect())) == [(0, 1.0, 11.0, 4), (3, 31.0, 41.0, 1)]
     assert P.MOST_K == 31
+
+
+def test_distinct_kmers_of_dealt_overlaps(spark, monkeypatch):
+    """A k-mer between two minimizers, or with a minimizer that is dealt by its overlaps, counts once; nothing but the sizes of
+    minimizers is written (super-k-mers were, for each k)."""
+    written = []
+    monkeypatch.setattr(L, "durable", lambda df, name="table", codec=None: written.append(name) or df.localCheckpoint())
+    monkeypatch.setattr(S, "LEAST_HOT", 8)
+    monkeypatch.setattr(L, "ONE_OF", 1)
+    reads = some(spark, 6, ["ACGTTGCAAC" * 20] * 5).where("seq is not null")
+    want = [K.abundances(K.forward_counts(reads, k)).count() for k in (2, 8, 15)]
+    assert [r["kmers"] for r in L.distinct_kmers(reads, [2, 8, 15]).orderBy("k").collect()] == want
+    assert set(written) == {"minimizers"}
