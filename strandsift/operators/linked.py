@@ -32,8 +32,9 @@ PARTS = "code long, n long, f long, r long, right long, left long, ends int"
 ALIVE = "code long, n long, sides int, ends int"
 
 
-def cut(codes: np.ndarray, ends: np.ndarray, k: int, m: int, hot: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """(hi, lo, tag) of the runs of a piece; ``hot`` are the minimizers whose overlaps are dealt by themselves."""
+def cut(codes: np.ndarray, ends: np.ndarray, k: int, m: int, hot: np.ndarray, drawn: np.ndarray | None = None) -> tuple[np.ndarray, ...] | None:
+    """(hi, lo, tag) of the runs of a piece; ``hot`` are the minimizers whose overlaps are dealt by themselves.  Where ``drawn``
+    tells which places are a sample, a last column has a bit for each k-mer of a run that is."""
     at = M.whole_windows(codes, ends, k) if len(codes) >= k else ()
     if not len(at):
         return None
@@ -70,13 +71,17 @@ def cut(codes: np.ndarray, ends: np.ndarray, k: int, m: int, hot: np.ndarray) ->
     rest = np.append(p, np.zeros(32, np.uint64))[start + 32]
     lo = np.where(size > 32, rest & (ones << (2 * np.minimum(64 - size, 31)).astype(np.uint64)), np.uint64(0))
     tag = by[first].astype(np.uint64) << np.uint64(32) | (edge << 6 | (n - 1)).astype(np.uint64)
-    order = np.lexsort((tag, lo, hi))
-    hi, lo, tag = hi[order], lo[order], tag[order]
+    keys = [tag, lo, hi]
+    if drawn is not None:
+        keys.insert(0, np.add.reduceat(drawn[place].astype(np.int64) << (np.arange(len(place)) - np.repeat(first, n)), first))
+    order = np.lexsort(keys)
+    keys = [c[order] for c in keys]
     head = np.ones(len(n), bool)
-    head[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]) | (tag[1:] != tag[:-1])
+    head[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in keys])
     head = np.flatnonzero(head)
     times = np.diff(np.append(head, len(n))).astype(np.uint64)  # no more than the bases of a piece
-    return hi[head].view(np.int64), lo[head].view(np.int64), (tag[head] | times << np.uint64(8)).view(np.int64)
+    *mask, tag, lo, hi = (c[head] for c in keys)
+    return hi.view(np.int64), lo.view(np.int64), (tag | times << np.uint64(8)).view(np.int64), *mask
 
 
 def _unpacked(tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,17 +89,28 @@ def _unpacked(tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (tag & 63) + 1, (tag >> 6) & 3, (tag >> 8) & 0xFFFFFF
 
 
-def runs(reads: DataFrame, k: int, hot: list[int]) -> DataFrame:
+def runs(reads: DataFrame, k: int, hot: list[int], drawn: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """The runs of all reads; ``drawn`` tells from read_ids and places in their reads which places are a sample."""
     m, most = M.minimizer_size(k - 1), np.array(sorted(hot), np.uint32)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for codes, ends, _, _ in M.pieces(b.column(0), k):
-                found = cut(codes, ends, k, m, most)
+            col = b.column(0).fill_null("").cast(pa.large_string())
+            off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+            start = int(off[0])
+            for codes, ends, _, last in M.pieces(col, k):
+                sample = None
+                if drawn is not None:
+                    place = start + np.arange(len(codes))
+                    row = np.searchsorted(off, place, "right") - 1
+                    ids = b.column(1)
+                    sample = drawn(ids.fill_null(0).to_numpy(zero_copy_only=False)[row], place - off[row]) & ids.is_valid().to_numpy(zero_copy_only=False)[row]
+                start += len(codes) - (0 if last else k - 1)
+                found = cut(codes, ends, k, m, most, sample)
                 if found is not None:
-                    yield pa.record_batch([pa.array(x) for x in found], ["hi", "lo", "tag"])
+                    yield pa.record_batch([pa.array(x) for x in found], ["hi", "lo", "tag", "mask"][: len(found)])
 
-    return reads.select("seq").mapInArrow(each, RUNS)
+    return reads.select("seq", *(["read_id"] if drawn else [])).mapInArrow(each, RUNS + ", mask long" * (drawn is not None))
 
 
 def _expanded(hi: np.ndarray, lo: np.ndarray, tag: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,8 +136,9 @@ def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else order
 
 
-def parts(hi: np.ndarray, lo: np.ndarray, tag: np.ndarray, k: int, a_min: int) -> list[np.ndarray] | None:
-    """The columns of PARTS from all runs of some minimizers: nodes, and halves of nodes with the end (1 or 2) that they know."""
+def parts(hi: np.ndarray, lo: np.ndarray, tag: np.ndarray, k: int, a_min: int, mask: np.ndarray | None = None) -> list[np.ndarray] | None:
+    """The columns of PARTS from all runs of some minimizers: nodes, and halves of nodes with the end (1 or 2) that they know.
+    With the runs' ``mask`` a last column has a node's places in the sample, on both strands."""
     x, flag, times = _expanded(hi, lo, tag, k)
     y = M.reversed_codes(x, k)
     ahead = x <= y
@@ -137,6 +154,11 @@ def parts(hi: np.ndarray, lo: np.ndarray, tag: np.ndarray, k: int, a_min: int) -
     back = M.reversed_codes(code, k)
     n = np.where(code == back, 2 * f, f + r)
     keep = n >= a_min
+    draws = []
+    if mask is not None:
+        size = _unpacked(tag)[0]
+        i = np.arange(len(times)) - np.repeat(np.cumsum(size) - size, size)
+        draws = [np.add.reduceat(((np.repeat(mask, size) >> i & 1) * times)[order], first)[keep]]
     code, back, flag, n, f, r = code[keep], back[keep], flag[keep], n[keep], f[keep], r[keep]
     right, left = np.flatnonzero(flag & 2), np.flatnonzero((flag & 1 > 0) & (code != back))
     sides = [np.zeros(len(code), np.int64), np.zeros(len(code), np.int64)]
@@ -153,7 +175,7 @@ def parts(hi: np.ndarray, lo: np.ndarray, tag: np.ndarray, k: int, a_min: int) -
         met = np.where(o <= p, two[group], one[group]).view(np.int64)
         sides[0][right], sides[1][left] = met[: len(right)], met[len(right) :]
     sides[1] = np.where(code == back, sides[0], sides[1])
-    return [code.view(np.int64), n, f, r, *sides, flag.astype(np.int32)]
+    return [code.view(np.int64), n, f, r, *sides, flag.astype(np.int32), *draws]
 
 
 def _large(reads: DataFrame, k: int) -> tuple[list[int], int]:
@@ -175,12 +197,12 @@ def _large(reads: DataFrame, k: int) -> tuple[list[int], int]:
     return hot, max(tasks, -(-total // TASK))
 
 
-def _in_tasks(reads: DataFrame, k: int, make: Callable[[list[np.ndarray]], list[np.ndarray] | None], schema: str) -> DataFrame:
+def _in_tasks(reads: DataFrame, k: int, make: Callable[[list[np.ndarray]], list[np.ndarray] | None], schema: str, drawn: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """What ``make`` gives for all runs of some minimizers at a time, in the tasks that they are dealt to."""
     if not 2 <= k <= MOST_K:
         raise ValueError(f"packed nodes have 2 to {MOST_K} bases")
     hot, tasks = _large(reads, k)
-    dealt = runs(reads, k, hot).repartition(tasks, F.expr("tag >> 32")).sortWithinPartitions("tag")
+    dealt = runs(reads, k, hot, drawn).repartition(tasks, F.expr("tag >> 32")).sortWithinPartitions("tag")
     names = [c.split()[0] for c in schema.split(", ")]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,6 +305,46 @@ def degree_sums(reads: DataFrame, k: int, a_min: int, a_max: int) -> DataFrame:
     return every.groupBy("a", "dr", "dl").agg(*(F.sum(c).alias(c) for c in names[3:]))
 
 
+def sampled_sums(reads: DataFrame, k: int, a_max: int, drawn: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(a, draws, nodes, internal) for a from 1 to ``a_max``: the places of the sample (see :func:`runs`) whose k-mers are nodes,
+    and the sums of one over the abundance over them and over those of unary nodes.
+
+    Draws go along with the runs as bits, so no single k-mer is shuffled to meet the graph; halves of nodes that aren't drawn
+    stay in their task, and of a side only for which a it has one neighbour is told.
+    """
+
+    def summed_draws(n: np.ndarray, draws: np.ndarray, right: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
+        w, one = draws / n, right & left
+        rows = [(a, draws[up].sum(), w[up].sum(), w[up & ((one >> a & 1) == 1)].sum()) for a in range(1, a_max + 1) for up in (n >= a,)]
+        return [np.array(c, t) for c, t in zip(zip(*rows, strict=True), (np.int32, np.int64, np.float64, np.float64), strict=True)]
+
+    def each(rows: list[np.ndarray]) -> list[np.ndarray] | None:
+        found = parts(*rows[:3], k, 1, rows[3])
+        if found is None:
+            return None
+        code, n, _, _, right, left, ends, draws = (c[found[7] > 0] for c in found)
+        one = lambda v: sum((sum((((v >> 16 * b) & 0xFFFF) >= a).astype(np.int64) for b in range(4)) == 1).astype(np.int64) << a for a in range(1, a_max + 1))
+        cols = [code, n, draws, one(right), one(left)]
+        sums = summed_draws(*(c[ends == 3] for c in cols[1:]))
+        halves = [c[ends != 3] for c in cols]
+        count = len(halves[0])
+        padded = [np.append(c, np.zeros(a_max, c.dtype)) for c in halves]
+        return padded + [np.append(np.full(count, -1 if i == 0 else 0, s.dtype), s) for i, s in enumerate(sums)]
+
+    names = "a int, draws long, nodes double, internal double"
+    found = durable(_in_tasks(reads, k, each, f"code long, n long, times long, right long, left long, {names}", drawn), "sums", "zstd")
+    halves = found.where("a = -1").groupBy("code").agg(*(F.max(c).alias(c) for c in ("n", "times", "right", "left"))).drop("code")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                sums = summed_draws(*(c.to_numpy(zero_copy_only=False) for c in b.columns))
+                yield pa.record_batch([pa.array(c) for c in sums], ["a", "draws", "nodes", "internal"])
+
+    every = found.where("a <> -1").select("a", "draws", "nodes", "internal").unionAll(halves.mapInArrow(rest, names))
+    return every.groupBy("a").agg(*(F.sum(c).alias(c) for c in ("draws", "nodes", "internal")))
+
+
 def census(sums: DataFrame) -> DataFrame:
     """:func:`strandsift.operators.bidirected.census` from :func:`degree_sums`."""
     return sums.groupBy("a").agg(
