@@ -33,6 +33,17 @@ def some(spark, seed):
     return spark.createDataFrame(list(zip(ids, seqs, strict=True)), "read_id long, seq string").repartition(3)
 
 
+@pytest.mark.parametrize("k, least", [(6, 1 << 20), (15, 8)])
+def test_unary_nodes_stay_in_their_task(spark, monkeypatch, written, k, least):
+    monkeypatch.setattr(S, "LEAST_HOT", least)
+    reads = some(spark, k)
+    want = D.degrees(E.packed_graph(reads, k, 2), k, 2, 2).where("not (din = 1 and dout = 1)").select("a", P.spelled("x", k).alias("kmer"), "din", "dout").collect()
+    got = D.spelled_degrees(L.branching(reads, k, 2), k, 2).collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert written["branching"].where("whole and right = 1 and left = 1").count() == 0
+    assert sum(len(r.dataType.simpleString()) > 7 for r in written["branching"].schema) == 0  # a code and small numbers
+
+
 @pytest.mark.parametrize("k, least, segment, at_once", [(6, 1 << 20, 100, 50), (15, 8, 1 << 20, 1 << 20)])
 def test_draws_go_with_the_runs(spark, monkeypatch, written, k, least, segment, at_once):
     monkeypatch.setattr(S, "LEAST_HOT", least)
