@@ -5,7 +5,7 @@ k-mer goes to the task of its first overlap and to that of its last one, which i
 mostly share their minimizer.  A task then has every k-mer of its overlaps with all its occurrences, counts them and reads
 their neighbours off without another shuffle; only a k-mer between two minimizers is put together from its two halves.
 Runs are two longs of bases and a tag: the minimizer's hash, how often the run occurs, whether it begins or ends between two
-minimizers, and its k-mers.  The overlaps of a minimizer that would be a task of its own are dealt by themselves.
+minimizers, and its k-mers.  The overlaps of a minimizer with too many k-mers for a task to hold are dealt by longer minimizers, so that they are still runs.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from . import superkmers as M
 
 #: k-mers that a task counts on average, and that it counts at once at least.
 TASK, AT_ONCE = 4 << 20, 1 << 20
+#: Bases by which the minimizers are longer that overlaps of a minimizer with too many k-mers are dealt by.
+LONGER = 3
 #: One of so many reads tells how large minimizers are; results don't depend on it.
 ONE_OF = 8
 RUNS = "hi long, lo long, tag long"
@@ -33,7 +35,7 @@ ALIVE = "code long, n long, sides int, ends int"
 
 
 def cut(codes: np.ndarray, ends: np.ndarray, k: int, m: int, hot: np.ndarray, drawn: np.ndarray | None = None) -> tuple[np.ndarray, ...] | None:
-    """(hi, lo, tag) of the runs of a piece; ``hot`` are the minimizers whose overlaps are dealt by themselves.  Where ``drawn``
+    """(hi, lo, tag) of the runs of a piece; ``hot`` are the minimizers whose overlaps are dealt by longer ones.  Where ``drawn``
     tells which places are a sample, a last column has a bit for each k-mer of a run that is."""
     at = M.whole_windows(codes, ends, k) if len(codes) >= k else ()
     if not len(at):
@@ -42,13 +44,13 @@ def cut(codes: np.ndarray, ends: np.ndarray, k: int, m: int, hot: np.ndarray, dr
     short = p[: len(codes) - m + 1] >> np.uint64(64 - 2 * m)
     bucket = M._least((M._mix(np.minimum(short, M.reversed_codes(short, m))) >> np.uint64(32)).astype(np.uint32), k - m)
     one, two = bucket[at], bucket[at + 1]
-    twice = one != two
     if len(hot):
         hot_one, hot_two = np.isin(one, hot), np.isin(two, hot)
-        overlap = p[: len(codes) - k + 2] >> np.uint64(64 - 2 * (k - 1))
-        overlap = (M._mix(np.minimum(overlap, M.reversed_codes(overlap, k - 1)) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32)
-        twice |= hot_one
-        one, two = np.where(hot_one, overlap[at], one), np.where(hot_two, overlap[at + 1], two)
+        m = min(k - 1, m + LONGER)
+        long_ = p[: len(codes) - m + 1] >> np.uint64(64 - 2 * m)
+        longer = M._least((M._mix(np.minimum(long_, M.reversed_codes(long_, m)) + np.uint64(1)) >> np.uint64(32)).astype(np.uint32), k - m)
+        one, two = np.where(hot_one, longer[at], one), np.where(hot_two, longer[at + 1], two)
+    twice = one != two
     # a k-mer between two minimizers stands twice, by its first overlap (1) and by its last one (2), others once (3)
     place = np.repeat(at, 1 + twice)
     second = np.append(False, place[1:] == place[:-1])
@@ -192,8 +194,8 @@ def _large(reads: DataFrame, k: int) -> tuple[list[int], int]:
     sizes = durable(some.groupBy("bucket").agg(F.sum("kmers").alias("kmers")), "minimizers")
     tasks = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     total = (sizes.agg(F.sum("kmers")).first()[0] or 0) * ONE_OF
-    limit = max(M.LEAST_HOT, total // (4 * tasks)) // ONE_OF
-    hot = [r["bucket"] & 0xFFFFFFFF for r in sizes.where(F.col("kmers") > limit).select("bucket").collect()]  # 4 * tasks at most
+    limit = 4 * M.LEAST_HOT // ONE_OF  # what a task holds at once, whatever the number of tasks
+    hot = [r["bucket"] & 0xFFFFFFFF for r in sizes.where(F.col("kmers") > limit).select("bucket").collect()]  # one for each 4 * LEAST_HOT k-mers at most
     return hot, max(tasks, -(-total // TASK))
 
 

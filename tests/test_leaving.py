@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +65,15 @@ def test_draws_go_with_the_runs(spark, monkeypatch, written, k, least, segment,
     got = {r["a"]: tuple(r)[1:] for r in L.sampled_sums(reads, k, 3, lambda i, pos: (i * 7 + pos * 3) % 10 < 2).collect()}
     assert set(want) == {1, 2, 3} and all(got[a] == pytest.approx(want[a]) for a in want)
     assert written["sums"].where("a = -1 and times = 0").count() == 0
+
+
+def test_overlaps_of_hot_minimizers_are_still_runs():
+    """There was a row for each of their k-mers before."""
+    rng = np.random.default_rng(4)
+    codes = rng.integers(0, 4, 20_000).astype(np.uint8)
+    m = S.minimizer_size(14)
+    tag = L.cut(codes, np.full(len(codes), len(codes)), 15, m, np.array([], np.uint32))[2]
+    every = L.cut(codes, np.full(len(codes), len(codes)), 15, m, np.unique(tag >> 32).astype(np.uint32))
+    assert len(every[2]) < len(codes) / 2
+    nodes = [{tuple(r) for r in zip(*(c[(p[6] & 2) > 0] for c in p[:4]), strict=True)} for p in (L.parts(*every, 15, 1),)]
+    assert sum(r[2] + r[3] for r in nodes[0]) == len(codes) - 14
