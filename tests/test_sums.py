@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,3 +38,17 @@ def test_degrees_are_summed_inside_tasks(spark, monkeypatch, k, seed):
     # only halves of nodes are written, and the sums
     table = dict(written)["sums"]
     assert table.where("a = -1").select("code").distinct().count() < nodes.count()
+
+
+@pytest.mark.parametrize("columns, tasks", [(3, 1), (4, 7)])
+def test_runs_are_packed_by_their_task(columns, tasks):
+    rng = np.random.default_rng(columns)
+    rows = [rng.integers(-(2**63), 2**63 - 1, 3000) for _ in range(columns)]
+    packed = L.packed([c.copy() for c in rows], tasks)
+    assert packed.num_rows == tasks  # a row for each task, not for each run
+    found = []
+    for task, size, blob in zip(*(c.to_pylist() for c in packed.columns), strict=True):
+        found.append(L.unpacked(size, blob, columns))
+        bucket = found[-1][2].view(np.uint64) >> np.uint64(32)
+        assert (bucket % np.uint64(tasks) == task).all() and (np.diff(bucket.astype(np.int64)) >= 0).all()
+    assert sorted(zip(*(np.concatenate(c).tolist() for c in zip(*found, strict=True)))) == sorted(zip(*(c.tolist() for c in rows)))
