@@ -52,3 +52,17 @@ def test_runs_are_packed_by_their_task(columns, tasks):
         bucket = found[-1][2].view(np.uint64) >> np.uint64(32)
         assert (bucket % np.uint64(tasks) == task).all() and (np.diff(bucket.astype(np.int64)) >= 0).all()
     assert sorted(zip(*(np.concatenate(c).tolist() for c in zip(*found, strict=True)))) == sorted(zip(*(c.tolist() for c in rows)))
+
+
+def test_halves_are_packed_by_their_task():
+    rng = np.random.default_rng(5)
+    rows = [rng.integers(0, 1 << 30, 3000), *(rng.integers(0, 2**63 - 1, 3000) for _ in range(5))]
+    rows[0][:1000] = rows[0][1000:2000]
+    packed = L.packed_halves([c.copy() for c in rows], 15, 7)
+    assert packed.num_rows == 7  # a row for each task, not for each half
+    found = []
+    for size, blob in zip(packed.column("size").to_pylist(), packed.column("runs").to_pylist(), strict=True):
+        found.append(L._opened(size, blob, 6))
+        found[-1][0] = np.cumsum(found[-1][0])
+    assert sum(len(np.unique(f[0])) for f in found) == len(np.unique(rows[0]))  # both halves of a node are in one task
+    assert sorted(zip(*(np.concatenate(c).tolist() for c in zip(*found, strict=True)))) == sorted(zip(*(c.tolist() for c in rows)))
